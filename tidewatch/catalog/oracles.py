@@ -569,10 +569,10 @@ SELECT cluster, string_agg(printf('%02d:00', hour), ', ' ORDER BY hour) AS commo
 SELECT {', '.join(_mode(x) for x in ('hour', 'day_of_week', 'month', 'weather_main'))},
   {', '.join(f"{_r(f'median({x})')} AS {x}" for x in ('temp_c', 'rain_1h', 'snow_1h', 'clouds_all'))} FROM tr"""),
         "l3_baseline": _obs_q(f""", {_SPLIT}
-SELECT row_ord, {_r('traffic_volume')} AS traffic_volume, {_r('p_baseline')} AS p_baseline FROM base"""),
+SELECT row_ord, {_r('traffic_volume', 9)} AS traffic_volume, {_r('p_baseline', 9)} AS p_baseline FROM base"""),
         "l6_metrics": _obs_q(f", {_SPLIT}\n{_metrics(6)}"),
         "l12_window_view": _obs_q(f""", {_SPLIT}
-SELECT date_time, {_r('traffic_volume')} AS actual, {_r('p_baseline')} AS predicted FROM base
+SELECT date_time, {_r('traffic_volume', 9)} AS actual, {_r('p_baseline', 9)} AS predicted FROM base
 WHERE date_time >= TIMESTAMP '2024-01-25' AND date_time < TIMESTAMP '2024-01-28'"""),
         "l13_split_facts": _obs_q(f""", {_SPLIT}
 SELECT part, min(date_time) AS first_ts, max(date_time) AS last_ts, count(*) AS rows FROM parts GROUP BY 1"""),
@@ -580,8 +580,8 @@ SELECT part, min(date_time) AS first_ts, max(date_time) AS last_ts, count(*) AS
         "l14_residual_sample": _obs_q(f""", {_SPLIT}, s AS (
   SELECT row_ord, date_time, traffic_volume AS actual, p_baseline AS predicted FROM base
   ORDER BY md5(concat(CAST(row_ord AS VARCHAR), ':0')), row_ord LIMIT 3000)
-SELECT row_ord, date_time, {_r('actual')} AS actual, {_r('predicted')} AS predicted,
-  {_r('greatest(max(actual) OVER (), max(predicted) OVER ())')} AS axis_max FROM s"""),
+SELECT row_ord, date_time, {_r('actual', 9)} AS actual, {_r('predicted', 9)} AS predicted,
+  {_r('greatest(max(actual) OVER (), max(predicted) OVER ())', 9)} AS axis_max FROM s"""),
     }
     for period, label in _PERIOD.items():
         series = f"""WITH {_ORDERS}, p AS (

@@ -274,7 +274,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # regression
         "l1_split": lambda s, d: _rows_by_part(s, d).select(S.ROW_ORD, S.TIME, "part"),
         "l2_impute_stats": lambda s, d: shown(R.impute_values(R.chronological_split(_obs(s, d)).train)),
-        "l3_baseline": lambda s, d: shown(_baseline(s, d).select(S.ROW_ORD, S.TARGET, "p_baseline")),
+        "l3_baseline": lambda s, d: shown(_baseline(s, d).select(S.ROW_ORD, S.TARGET, "p_baseline"), 9),
         "l4_linear": lambda s, d: _metrics_of(s, d, R.LINEAR),
         "l5_forest": lambda s, d: _metrics_of(s, d, R.FOREST),
         "l6_metrics": lambda s, d: shown(R.metrics(_baseline(s, d))),
@@ -282,10 +282,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "l9_score": _scored_conditions,
         "l10_importance": lambda s, d: trained(s, d).importance(),
         "l11_metrics_long": lambda s, d: R.metrics_long(trained(s, d).results),
-        "l12_window_view": lambda s, d: shown(R.window_view(_baseline(s, d), "p_baseline", "2024-01-25", 3)),
+        "l12_window_view": lambda s, d: shown(R.window_view(_baseline(s, d), "p_baseline", "2024-01-25", 3), 9),
         "l13_split_facts": lambda s, d: R.split_facts(_rows_by_part(s, d)),
         "l13_shown_metrics": lambda s, d: R.shown_metrics(R.metrics(_baseline(s, d))),
-        "l14_residual_sample": lambda s, d: shown(R.residual_sample(_baseline(s, d), "p_baseline")),
+        "l14_residual_sample": lambda s, d: shown(R.residual_sample(_baseline(s, d), "p_baseline"), 9),
     }
     for period in ("daily", "weekly", "monthly"):
         q[f"a11_resample_{period}"] = lambda s, d, p=period: shown(

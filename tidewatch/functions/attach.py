@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch import schema as S
 
 
-def one_row(df: DataFrame) -> Column:
-    """All columns of a one-row table as a struct, usable as a scalar subquery.
+def with_row(df: DataFrame, table: DataFrame) -> DataFrame:
+    """``df`` with the columns of a one-row table on every row.
 
-    Spark runs the subquery once however often the struct is used.
+    The table becomes a single scalar subquery: it runs once, is planned once, and its fields
+    are ordinary columns afterwards.
     """
-    return df.select(F.struct(*[F.col(c) for c in df.columns]).alias("s")).scalar()
+    names = table.columns
+    row = table.select(F.struct(*names).alias("row")).scalar()
+    return df.withColumn("__row", row).select(
+        *df.columns, *[F.col("__row")[c].alias(c) for c in names]
+    )
 
 
 def by_group(

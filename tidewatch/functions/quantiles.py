@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch import schema as S
-from tidewatch.functions.attach import by_group, one_row
+from tidewatch.functions.attach import by_group, with_row
 
 SMALL_INPUT_BYTES = 16 * 1024 * 1024
 
@@ -90,8 +90,7 @@ def grouped_summary(
     ).select(*keys, *[F.col("q")[i].alias(name) for i, name in enumerate(quantiles)])
     if keys:
         return by_group(base, found, keys, null_safe=True, bound=bound)
-    row = one_row(found)
-    return base.select("*", *[row[name].alias(name) for name in quantiles])
+    return with_row(base, found)
 
 
 def _ranked_quantiles(rows: DataFrame, probs: list[float], keys: list[str], bound) -> DataFrame:
@@ -116,8 +115,7 @@ def _ranked_quantiles(rows: DataFrame, probs: list[float], keys: list[str], boun
     if keys:
         marked = by_group(rows, sketch, keys, null_safe=True, how="inner", bound=bound)
     else:
-        cuts = one_row(sketch)
-        marked = rows.select("*", *[cuts[c].alias(c) for c in sketch.columns])
+        marked = with_row(rows, sketch)
 
     lows = [F.col(f"__c{i}") for i in range(0, len(brackets), 2)]
     highs = [F.col(f"__c{i}") for i in range(1, len(brackets), 2)]
@@ -193,7 +191,5 @@ def _ranked_quantiles(rows: DataFrame, probs: list[float], keys: list[str], boun
     if keys:
         return out
     # A global aggregate of an empty input still has one row.
-    row = one_row(out)
-    return rows.sparkSession.range(1).select(
-        F.coalesce(row["n"], F.lit(0)).alias("n"), row["q"].alias("q")
-    )
+    whole = with_row(rows.sparkSession.range(1), out)
+    return whole.select(F.coalesce("n", F.lit(0)).alias("n"), "q")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch import schema as S
-from tidewatch.functions.attach import by_group, one_row
+from tidewatch.functions.attach import by_group, with_row
 from tidewatch.functions.quantiles import exact_quantiles
 from tidewatch.functions.scalars import round_to
 
@@ -44,11 +44,7 @@ def flag_anomalies(
     """
     keys = list(keys)
     limits = iqr_limits(df, keys, multiplier, target, bound=bound, distributed=distributed)
-    if keys:
-        out = by_group(df, limits, keys, bound=bound)
-    else:
-        row = one_row(limits)
-        out = df.select("*", *[row[c].alias(c) for c in limits.columns])
+    out = by_group(df, limits, keys, bound=bound) if keys else with_row(df, limits)
     value = F.col(target)
     high, low = value > F.col("upper_limit"), value < F.col("lower_limit")
     return out.withColumns({

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations_with_replacement
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch import schema as S
-from tidewatch.functions.attach import one_row
+from tidewatch.functions.attach import with_row
 from tidewatch.functions.quantiles import exact_quantiles
-from tidewatch.functions.scalars import round_to
+from tidewatch.functions.scalars import pick, round_to
 from tidewatch.functions.statistics import pearson, strength
 
 
@@ -45,23 +45,28 @@ def quantile_trend(
     # Only "how many, up to max_bins" matters. The distinct sketch reads few values as few
     # (m values set at most m registers), so an estimate of twice max_bins proves there are
     # more than max_bins; only below it are values counted exactly, and then they are few.
-    estimate = rows.agg(F.approx_count_distinct("x").alias("d")).scalar()
-    exact = rows.where(estimate <= 2 * max_bins).agg(F.count_distinct("x").alias("d")).scalar()
-    distinct = F.when(estimate > 2 * max_bins, F.lit(max_bins)).otherwise(
-        F.least(exact, F.lit(max_bins))
+    estimate = rows.agg(F.approx_count_distinct("x").alias("estimate"))
+    few = rows.where(estimate.scalar() <= 2 * max_bins)
+    counted = with_row(estimate, few.agg(F.count_distinct("x").alias("exact"))).select(
+        F.when(F.col("estimate") > 2 * max_bins, F.lit(max_bins))
+        .otherwise(F.least("exact", F.lit(max_bins))).alias("bins")
     )
     sizes = list(range(min_distinct + 1, max_bins + 1))
     probs = sorted({i / n for n in sizes for i in range(n + 1)})
-    found = exact_quantiles(rows, "x", probs, distributed=distributed).select("q").scalar()
+    found = exact_quantiles(rows, "x", probs, distributed=distributed)
 
-    edges = F.array()
+    edges = F.lit(None).cast("array<double>")
     for n in sizes:
-        wanted = F.array(*[F.element_at(found, probs.index(i / n) + 1) for i in range(n + 1)])
-        edges = F.when(distinct == n, F.array_distinct(wanted)).otherwise(edges)
-    edge_row = df.sparkSession.range(1).select(edges.alias("edges")).scalar()
-    bin_id = F.greatest(F.size(F.filter(edge_row, lambda e: e < F.col("x"))), F.lit(1))
+        wanted = F.array(*[F.element_at("q", probs.index(i / n) + 1) for i in range(n + 1)])
+        edges = F.when(F.col("bins") == n, F.array_distinct(wanted)).otherwise(edges)
+    edge_row = with_row(found.select("q"), counted).select(edges.alias("edges"))
+    below = [
+        F.coalesce((F.get("edges", F.lit(i)) < F.col("x")).cast("int"), F.lit(0))
+        for i in range(max_bins + 1)
+    ]
+    bin_id = F.greatest(sum(below[1:], below[0]), F.lit(1))
     return (
-        rows.where(F.size(edge_row) > 1)
+        with_row(rows.where(counted.scalar() > min_distinct), edge_row)
         .groupBy(bin_id.alias("bin"))
         .agg(
             F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y"), F.count(F.lit(1)).alias("n")
@@ -72,44 +77,34 @@ def quantile_trend(
 def correlation_matrix(df: DataFrame, columns=tuple(S.CORRELATION_COLUMNS)) -> DataFrame:
     """Pearson r of every pair of columns, each over rows where both are present.
 
-    Rows (a, b, r) for the full square. One pass over the data: values are shifted by the
-    column means (one small first pass) so that plain sums are enough, and each pair needs
-    only sums, a minimum and a maximum.
+    Rows (a, b, r) for the full square; null where r is undefined. A row is unrolled into its
+    column pairs and reduced to one state per pair before the exchange. That stays inside
+    generated code, which hundreds of aggregates side by side do not.
     """
     columns = list(columns)
-    typed = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    means = one_row(typed.agg(*[F.avg(c).alias(c) for c in columns]))
-    centred = typed.select(*[(F.col(c) - means[c]).alias(c) for c in columns])
-
-    def masked(a: str, b: str):
-        """Value of ``a`` on rows where both are present."""
-        return F.when(F.col(b).isNotNull(), F.col(a))
-
-    sums = []
-    for a, b in combinations(columns, 2):
-        x, y = masked(a, b), masked(b, a)
-        sums.append(F.struct(
-            F.lit(a).alias("a"), F.lit(b).alias("b"),
-            F.count(x).cast("double").alias("n"),
-            F.sum(x).alias("sx"), F.sum(y).alias("sy"),
-            F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy"),
-            ((F.min(x) == F.max(x)) | (F.min(y) == F.max(y))).alias("constant"),
-        ))
-    pairs = centred.agg(F.array(*sums).alias("p")).select(F.inline("p"))
-    n = F.nullif("n", F.lit(0.0))
-    cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
-    var = (F.col("sxx") - F.col("sx") * F.col("sx") / n) * (F.col("syy") - F.col("sy") * F.col("sy") / n)
-    r = F.when(~F.col("constant") & (var > 0), cov / F.nullif(F.sqrt(var), F.lit(0.0)))
-    upper = pairs.select("a", "b", r.alias("r"))
-    diagonal = typed.agg(F.array(*[
-        F.struct(F.lit(c).alias("a"), F.lit(c).alias("b"),
-                 F.when(F.min(c) != F.max(c), F.lit(1.0)).alias("r"))
-        for c in columns
-    ]).alias("p")).select(F.inline("p"))
-    both_ways = upper.select(F.inline(F.array(
-        F.struct("a", "b", "r"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "r")
-    )))
-    return both_ways.unionByName(diagonal)
+    pairs = list(combinations_with_replacement(range(len(columns)), 2))
+    unrolled = df.select(F.inline(F.array(*[
+        F.struct(
+            F.lit(p).alias("pair"), F.col(columns[i]).cast("double").alias("x"),
+            F.col(columns[j]).cast("double").alias("y"),
+        )
+        for p, (i, j) in enumerate(pairs)
+    ]))).where("x IS NOT NULL AND y IS NOT NULL")
+    found = unrolled.groupBy("pair").agg(pearson("x", "y").alias("r"))
+    names = df.sparkSession.range(0, len(pairs), numPartitions=1).select(
+        F.col("id").cast("int").alias("pair"),
+        pick([columns[i] for i, _ in pairs], F.col("id").cast("int")).alias("a"),
+        pick([columns[j] for _, j in pairs], F.col("id").cast("int")).alias("b"),
+    )
+    upper = names.join(F.broadcast(found), "pair", "left").select(  # one row per pair
+        "a", "b", F.when((F.col("a") == F.col("b")) & F.col("r").isNotNull(), F.lit(1.0))
+        .otherwise(F.col("r")).alias("r"),
+    )
+    mirrored = F.array(
+        F.struct("a", "b", "r"),
+        F.when(F.col("a") != F.col("b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "r")),
+    )
+    return upper.select(F.inline(F.array_compact(mirrored)))
 
 
 def rounded_matrix(matrix: DataFrame, digits: int = 2) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch import schema as S
-from tidewatch.functions.attach import one_row
+from tidewatch.functions.attach import with_row
 from tidewatch.functions.quantiles import grouped_summary
 from tidewatch.functions.statistics import adjusted_skewness
 
@@ -20,12 +20,10 @@ def distribution_facts(df: DataFrame, target: str = S.TARGET, *, distributed=Non
          adjusted_skewness(target).alias("skewness")],
         distributed=distributed,
     )
-    facts = one_row(found)
-    below = df.agg(
-        F.avg((F.col(target) < facts["q1"]).cast("double")).alias("share")
-    ).select((F.lit(100.0) * F.col("share")).alias("share")).scalar()
-    return found.select(
-        "mean", "median", "std", "skewness", "q1", below.alias("below_q1_pct")
+    below = F.avg((F.col(target) < F.col("q1")).cast("double"))
+    facts = ["mean", "median", "std", "skewness", "q1"]
+    return with_row(df.select(target), found).agg(
+        *[F.max(c).alias(c) for c in facts], (F.lit(100.0) * below).alias("below_q1_pct")
     )
 
 
@@ -34,24 +32,22 @@ def histogram(df: DataFrame, bins: int = 20, target: str = S.TARGET) -> DataFram
 
     A constant input is widened by half a unit on both sides.
     """
-    ends = one_row(df.agg(
-        F.min(target).cast("double").alias("lo"), F.max(target).cast("double").alias("hi")
-    ))
-    same = ends["lo"] == ends["hi"]
-    low = F.when(same, ends["lo"] - 0.5).otherwise(ends["lo"])
-    high = F.when(same, ends["hi"] + 0.5).otherwise(ends["hi"])
-    width = (high - low) / F.lit(float(bins))
-    index = F.least(F.floor((F.col(target) - low) / width), F.lit(bins - 1)).cast("int")
+    value = F.col(target).cast("double")
+    lo, hi = F.min(value), F.max(value)
+    low = F.when(lo == hi, lo - 0.5).otherwise(lo)
+    high = F.when(lo == hi, hi + 0.5).otherwise(hi)
+    ends = df.agg(low.alias("low"), ((high - low) / F.lit(float(bins))).alias("width"))
+    index = F.least(F.floor((value - F.col("low")) / F.col("width")), F.lit(bins - 1)).cast("int")
     counts = (
-        df.where(F.col(target).isNotNull()).groupBy(index.alias("bin"))
-        .agg(F.count(F.lit(1)).alias("count"))
+        with_row(df.select(target).where(F.col(target).isNotNull()), ends)
+        .groupBy(index.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     )
     frame = df.sparkSession.range(0, bins, numPartitions=1).select(F.col("id").cast("int").alias("bin"))
-    joined = frame.join(F.broadcast(counts), "bin", "left")
+    joined = with_row(frame.join(F.broadcast(counts), "bin", "left"), ends)  # <= bins rows
     return joined.select(
         "bin",
-        (low + F.col("bin") * width).alias("lower_edge"),
-        (low + (F.col("bin") + 1) * width).alias("upper_edge"),
+        (F.col("low") + F.col("bin") * F.col("width")).alias("lower_edge"),
+        (F.col("low") + (F.col("bin") + 1) * F.col("width")).alias("upper_edge"),
         F.coalesce("count", F.lit(0)).alias("count"),
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch import schema as S
@@ -36,8 +36,9 @@ def peak_by_day_type(df: DataFrame) -> DataFrame:
     )
 
 
-def hour_ranges(hours: DataFrame, hour: str = "hour") -> DataFrame:
+def hour_ranges(hours: DataFrame, extra: Column | None = None, hour: str = "hour") -> DataFrame:
     """Hours of day as text: runs of neighbours become one range, ``none`` for no hours.
+    ``extra`` is a scalar to carry along.
 
     Runs share the difference between hour and rank. At most 24 distinct hours reach the
     window; nothing wraps at midnight.
@@ -52,7 +53,8 @@ def hour_ranges(hours: DataFrame, hour: str = "hour") -> DataFrame:
         lambda r: F.format_string("%02d:00-%02d:59", r["a"], r["b"]),
     )
     text = F.array_join(pieces, ", ")
-    return runs.agg(F.when(text == "", "none").otherwise(text).alias("ranges"))
+    out = runs.agg(F.when(text == "", "none").otherwise(text).alias("ranges"))
+    return out if extra is None else out.withColumn("extra", extra)
 
 
 def high_hour_ranges(df: DataFrame, quantile: float = 0.75, *, distributed=None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch import schema as S
-from tidewatch.functions.attach import one_row
+from tidewatch.functions.attach import with_row
 from tidewatch.functions.quantiles import exact_quantiles, grouped_summary
 from tidewatch.functions.scalars import (
     column, day_name, day_type, month_name, round_to,
@@ -65,16 +65,19 @@ def high_traffic_periods(
 ) -> DataFrame:
     """Per hour: mean, share of records strictly above the threshold, and whether the shown
     (rounded) share reaches half. The threshold is carried along as a column."""
-    threshold = high_traffic_threshold(df, quantile, target, distributed=distributed).scalar()
-    above = F.avg((F.col(target) > threshold).cast("double"))
-    share = df.groupBy("hour").agg(
+    rows = with_row(
+        df.select("hour", target),
+        high_traffic_threshold(df, quantile, target, distributed=distributed),
+    )
+    above = F.avg((F.col(target) > F.col("threshold")).cast("double"))
+    share = rows.groupBy("hour").agg(
         round_to(F.avg(target), 1).alias("mean_traffic"),
         round_to(F.lit(100.0) * above, 1).alias("share_above_threshold"),
+        F.max("threshold").alias("threshold"),
     )
     return share.select(
         "hour", "mean_traffic", "share_above_threshold",
-        (F.col("share_above_threshold") >= 50).alias("consistently_high"),
-        threshold.alias("threshold"),
+        (F.col("share_above_threshold") >= 50).alias("consistently_high"), "threshold",
     )
 
 
@@ -183,14 +186,16 @@ def category_profile(df: DataFrame, by: str = "weather_main", target: str = S.TA
 def category_extremes(df: DataFrame, by: str = "weather_main", target: str = S.TARGET) -> DataFrame:
     """First and last row of the category profile, with their counts."""
     profile = df.groupBy(by).agg(F.avg(target).alias("mean"), F.count(target).alias("count"))
-    high = one_row(profile.orderBy(F.desc("mean"), F.asc(by)).limit(1))
-    low = one_row(profile.orderBy(F.asc("mean"), F.desc(by)).limit(1))
-    return df.sparkSession.range(1).select(
-        high[by].alias("highest_category"), high["mean"].alias("highest_mean"),
-        high["count"].alias("highest_n"),
-        low[by].alias("lowest_category"), low["mean"].alias("lowest_mean"),
-        low["count"].alias("lowest_n"),
-    )
+    names = [by, "mean", "count"]
+
+    def first(side: str, *order) -> DataFrame:
+        labels = [f"{side}_category", f"{side}_mean", f"{side}_n"]
+        return profile.orderBy(*order).limit(1).select(
+            *[F.col(n).alias(label) for n, label in zip(names, labels)]
+        )
+
+    high = first("highest", F.desc("mean"), F.asc(by))
+    return with_row(high, first("lowest", F.asc("mean"), F.desc(by)))
 
 
 def kpis(df: DataFrame, target: str = S.TARGET) -> DataFrame:

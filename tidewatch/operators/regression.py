@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch import schema as S
-from tidewatch.functions.attach import one_row
+from tidewatch.functions.attach import with_row
 from tidewatch.functions.quantiles import exact_quantiles
 from tidewatch.functions.sampling import bounded_sample
 from tidewatch.functions.scalars import round_to
@@ -132,8 +132,7 @@ def impute_values(train: DataFrame, *, distributed=None) -> DataFrame:
         F.coalesce(F.max(F.when(F.col("column") == c, F.col("q")[0])), F.lit(0.0)).alias(c)
         for c in NUMERIC
     ])
-    row = one_row(wide)
-    return modes.select("*", *[row[c].alias(c) for c in NUMERIC])
+    return with_row(modes, wide)
 
 
 def scale_values(train: DataFrame, fills: dict) -> DataFrame:
@@ -215,7 +214,9 @@ def random_forest(
     return RandomForestRegressor(
         featuresCol="features", labelCol=S.TARGET, predictionCol=prediction, numTrees=trees,
         minInstancesPerNode=leaf, maxDepth=forest_depth(rows, trees, leaf),
-        featureSubsetStrategy="all", seed=seed, maxBins=64, maxMemoryInMB=1024,
+        featureSubsetStrategy="all", seed=seed,
+        # Deep trees: keep each row's node instead of shipping the growing forest every level.
+        cacheNodeIds=True, checkpointInterval=10,
     )
 
 

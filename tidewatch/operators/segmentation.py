@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch import schema as S
-from tidewatch.functions.attach import one_row
+from tidewatch.functions.attach import with_row
 from tidewatch.functions.sampling import bounded_sample
 from tidewatch.functions.scalars import cyclic_hour, day_type, hour_label, round_to
-from tidewatch.session import cut_lineage
+from tidewatch.session import cut_lineage, spread
 
 BASE_COLUMNS = [S.TARGET, "hour", "is_weekend", "temp_c", "clouds_all"]
 FEATURES = [S.TARGET, "hour_sin", "hour_cos", "is_weekend", "temp_c", "clouds_all"]
@@ -43,17 +43,18 @@ def cluster_features(df: DataFrame) -> DataFrame:
 
 def standardise(df: DataFrame, columns=tuple(FEATURES)) -> DataFrame:
     """``z_<column>``: zero mean and unit population deviation; a constant column becomes 0."""
-    stats = one_row(df.agg(
-        *[F.avg(c).alias(f"mean_{c}") for c in columns],
-        *[F.stddev_pop(c).alias(f"std_{c}") for c in columns],
-        *[(F.min(c) == F.max(c)).alias(f"flat_{c}") for c in columns],
-    ))
-    return df.withColumns({
-        f"z_{c}": F.when(stats[f"flat_{c}"], F.lit(0.0)).otherwise(
-            (F.col(c) - stats[f"mean_{c}"]) / F.nullif(stats[f"std_{c}"], F.lit(0.0))
-        )
+    stats = df.agg(
+        *[F.avg(c).alias(f"__mean_{c}") for c in columns],
+        *[F.stddev_pop(c).alias(f"__std_{c}") for c in columns],
+        *[(F.min(c) == F.max(c)).alias(f"__flat_{c}") for c in columns],
+    )
+    scaled = [
+        F.when(F.col(f"__flat_{c}"), F.lit(0.0))
+        .otherwise((F.col(c) - F.col(f"__mean_{c}")) / F.nullif(f"__std_{c}", F.lit(0.0)))
+        .alias(f"z_{c}")
         for c in columns
-    })
+    ]
+    return with_row(df, stats).select(*df.columns, *scaled)
 
 
 def run_kmeans(
@@ -70,7 +71,7 @@ def run_kmeans(
     scaled = VectorAssembler(
         inputCols=[f"z_{c}" for c in FEATURES], outputCol="features"
     ).transform(standardise(rows)).drop(*[f"z_{c}" for c in FEATURES])
-    scaled = cut_lineage(scaled).persist()
+    scaled = spread(cut_lineage(scaled), S.TIME).persist()
     features = scaled.select("features").persist()
 
     def fit(restart: int) -> KMeansModel:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch import schema as S
-from tidewatch.functions.attach import one_row
 from tidewatch.operators import cleaning as C
 from tidewatch.operators import quality as Q
 

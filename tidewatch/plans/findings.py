@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch import schema as S
-from tidewatch.functions.attach import one_row
 from tidewatch.functions.scalars import date_label, day_name, hour_label, round_to
 from tidewatch.operators.peaks import hour_ranges, top_observations
 from tidewatch.operators.profiles import first_max, first_min, high_traffic_periods
 
+FACTS = [
+    "no_data", "busiest_hour", "quietest_hour", "busiest_day", "quietest_day", "weekday_mean",
+    "weekend_mean", "weekday_vs_weekend_pct", "weekday_peak", "weekend_peak", "high_hours",
+    "highest_record",
+]
+
 
 def facts(df: DataFrame, target: str = S.TARGET, *, distributed=None) -> DataFrame:
     """Ordered facts (``ord``, ``fact``, ``label``, ``value``).
@@ -25,90 +32,90 @@ def facts(df: DataFrame, target: str = S.TARGET, *, distributed=None) -> DataFra
     weekend = (F.col("day_of_week") >= 5).cast("int").alias("is_weekend")
     mean = F.sum("total") / F.sum("n")
 
-    hours = one_row(
-        cells.groupBy("hour").agg(round_to(mean, 1).alias("mean")).agg(
-            first_max("mean", "hour").alias("best"), F.max("mean").alias("high"),
-            first_min("mean", "hour").alias("worst"), F.min("mean").alias("low"),
+    def fact(order: int, name: str, label=None, value=None):
+        return F.struct(
+            F.lit(order).alias("ord"), F.lit(name).alias("fact"),
+            F.lit(label).cast("string").alias("label"), F.lit(value).cast("double").alias("value"),
         )
-    )
-    days = one_row(
-        cells.groupBy("day_of_week").agg(round_to(mean, 1).alias("mean")).agg(
-            first_max("mean", "day_of_week").alias("best"), F.max("mean").alias("high"),
-            first_min("mean", "day_of_week").alias("worst"), F.min("mean").alias("low"),
+
+    def rows(table: DataFrame, *entries) -> DataFrame:
+        return table.select(F.inline(F.array(*entries)))
+
+    def extremes(key: str) -> DataFrame:
+        shown = cells.groupBy(key).agg(round_to(mean, 1).alias("mean"))
+        return shown.agg(
+            first_max("mean", key).alias("best"), F.max("mean").alias("high"),
+            first_min("mean", key).alias("worst"), F.min("mean").alias("low"),
         )
-    )
+
+    hours, days = extremes("hour"), extremes("day_of_week").where("best IS NOT NULL")
     by_type = cells.groupBy(weekend, "hour").agg(
         F.sum("total").alias("total"), F.sum("n").alias("n"), round_to(mean, 1).alias("mean")
     ).groupBy("is_weekend").agg(
-        (F.sum("total") / F.sum("n")).alias("mean"),
-        first_max("mean", "hour").alias("peak"), F.max("mean").alias("peak_mean"),
+        mean.alias("mean"), first_max("mean", "hour").alias("peak"), F.max("mean").alias("peak_mean"),
     )
 
     def side(flag: int, name: str):
         return F.max(F.when(F.col("is_weekend") == flag, F.col(name)))
 
-    types = one_row(by_type.agg(*[
+    types = by_type.agg(*[
         side(flag, name).alias(f"{prefix}_{name}")
         for flag, prefix in ((0, "wk"), (1, "we")) for name in ("mean", "peak", "peak_mean")
-    ]))
-    diff = F.lit(100.0) * (types["wk_mean"] - types["we_mean"]) / F.nullif(types["we_mean"], F.lit(0.0))
-    both = types["wk_mean"].isNotNull() & types["we_mean"].isNotNull()
+    ]).where("wk_mean IS NOT NULL AND we_mean IS NOT NULL")
+    wk, we = F.col("wk_mean"), F.col("we_mean")
+    diff = F.lit(100.0) * (wk - we) / F.nullif(we, F.lit(0.0))
 
     periods = high_traffic_periods(df, distributed=distributed)
-    ranges = one_row(hour_ranges(periods.where("consistently_high")))
-    threshold = one_row(periods.agg(F.max("threshold").alias("value")))
-    top = one_row(top_observations(df, 1).select(
-        F.concat_ws(" ", date_label(S.TIME), hour_label("hour"), "day_name").alias("label"),
-        F.col(target).cast("double").alias("value"),
-    ))
-    some = hours["best"].isNotNull()
-
-    def fact(order: int, name: str, label, value, when=some):
-        return F.when(when, F.struct(
-            F.lit(order).alias("ord"), F.lit(name).alias("fact"),
-            label.cast("string").alias("label"), value.cast("double").alias("value"),
-        ))
-
-    nothing = F.lit(None)
-    entries = F.array(
-        fact(0, "no_data", nothing, nothing, when=~some),
-        fact(1, "busiest_hour", hour_label(hours["best"]), hours["high"]),
-        fact(2, "quietest_hour", hour_label(hours["worst"]), hours["low"]),
-        fact(3, "busiest_day", day_name(days["best"]), days["high"]),
-        fact(4, "quietest_day", day_name(days["worst"]), days["low"]),
-        fact(5, "weekday_mean", nothing, types["wk_mean"], when=some & both),
-        fact(6, "weekend_mean", nothing, types["we_mean"], when=some & both),
-        fact(7, "weekday_vs_weekend_pct", F.when(diff >= 0, "higher").otherwise("lower"),
-             diff, when=some & both),
-        fact(8, "weekday_peak", hour_label(types["wk_peak"]), types["wk_peak_mean"], when=some & both),
-        fact(9, "weekend_peak", hour_label(types["we_peak"]), types["we_peak_mean"], when=some & both),
-        fact(10, "high_hours", ranges["ranges"], threshold["value"]),
-        fact(11, "highest_record", top["label"], top["value"]),
-    )
-    row = df.sparkSession.range(1).select(F.array_compact(entries).alias("e"))
-    return row.select(F.inline("e"))
+    high = hour_ranges(periods.where("consistently_high"), periods.agg(
+        F.max("threshold").alias("threshold")
+    ).scalar()).where("extra IS NOT NULL")
+    top = top_observations(df, 1)
+    record = F.concat_ws(" ", date_label(S.TIME), hour_label("hour"), F.col("day_name"))
+
+    parts = [
+        rows(hours.where("best IS NULL"), fact(0, "no_data")),
+        rows(hours.where("best IS NOT NULL"),
+             fact(1, "busiest_hour", hour_label("best"), F.col("high")),
+             fact(2, "quietest_hour", hour_label("worst"), F.col("low"))),
+        rows(days,
+             fact(3, "busiest_day", day_name("best"), F.col("high")),
+             fact(4, "quietest_day", day_name("worst"), F.col("low"))),
+        rows(types,
+             fact(5, "weekday_mean", None, wk),
+             fact(6, "weekend_mean", None, we),
+             fact(7, "weekday_vs_weekend_pct",
+                  F.when(diff >= 0, "higher").otherwise("lower"), diff),
+             fact(8, "weekday_peak", hour_label("wk_peak"), F.col("wk_peak_mean")),
+             fact(9, "weekend_peak", hour_label("we_peak"), F.col("we_peak_mean"))),
+        rows(high, fact(10, "high_hours", F.col("ranges"), F.col("extra"))),
+        rows(top, fact(11, "highest_record", record, F.col(target))),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def sentences(found: DataFrame) -> DataFrame:
     """The facts as ordered sentences (``ord``, ``text``)."""
-    by_name = one_row(found.agg(F.map_from_entries(
-        F.collect_list(F.struct("fact", F.struct("label", "value")))
-    ).alias("m")))["m"]
+    def of(name: str, column: str):
+        return F.max(F.when(F.col("fact") == name, F.col(column)))
+
+    wide = found.agg(*[
+        e for name in FACTS for e in (
+            of(name, "label").alias(f"{name}_label"), of(name, "value").alias(f"{name}_value"),
+            F.max(F.col("fact") == name).alias(name),
+        )
+    ])
 
     def label(name: str):
-        return F.try_element_at(by_name, F.lit(name))["label"]
+        return F.col(f"{name}_label")
 
     def value(name: str, digits: int = 0):
-        return F.format_number(F.try_element_at(by_name, F.lit(name))["value"], digits)
-
-    def has(name: str):
-        return F.array_contains(F.map_keys(by_name), name)
+        return F.format_number(F.col(f"{name}_value"), digits)
 
     def line(order: int, needs: str, *parts):
         texts = [F.lit(p) if isinstance(p, str) else p for p in parts]
-        return F.when(has(needs), F.struct(F.lit(order).alias("ord"), F.concat(*texts).alias("text")))
+        return F.when(F.col(needs), F.struct(F.lit(order).alias("ord"), F.concat(*texts).alias("text")))
 
-    diff = F.format_number(F.abs(F.try_element_at(by_name, F.lit("weekday_vs_weekend_pct"))["value"]), 1)
+    diff = F.format_number(F.abs(F.col("weekday_vs_weekend_pct_value")), 1)
     lines = F.array_compact(F.array(
         line(0, "no_data", "The selection holds no records."),
         line(1, "busiest_hour", "On average the busiest hour starts at ", label("busiest_hour"), " (mean ",
@@ -126,4 +133,4 @@ def sentences(found: DataFrame) -> DataFrame:
         line(6, "highest_record", "The highest single record is ", value("highest_record"), " on ",
              label("highest_record"), "."),
     ))
-    return found.sparkSession.range(1).select(F.inline(lines))
+    return wide.select(F.inline(lines))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import schema as S
 from tidewatch.operators import regression as R
-from tidewatch.session import cut_lineage
+from tidewatch.session import cut_lineage, spread
 
 
 @dataclass
@@ -45,7 +45,7 @@ def train_and_evaluate(
     """
     S.require_columns(df, [*R.FEATURES, S.TARGET, S.TIME], "clean table")
     keep = [c for c in [S.ROW_ORD, S.TIME, S.TARGET, *R.FEATURES] if c in df.columns]
-    base = cut_lineage(df.select(*keep))
+    base = spread(cut_lineage(df.select(*keep)), S.TIME)
     split = R.chronological_split(base, test_fraction)
     train, test = split.train.persist(), split.test
 

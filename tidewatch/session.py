@@ -43,3 +43,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             raise ValueError("Set spark.checkpoint.dir to a folder all executors share.")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewatch-ckpt-"))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a checkpointed table at least one partition per core.
+
+    Only inputs of a few partitions, i.e. small ones, are shuffled; the key makes the result
+    the same on every run.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
