@@ -6,8 +6,11 @@ _TIME_SHAPE = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"
 
 
 def _r(expr: str, digits: int = 6) -> str:
-    """Half-even rounding on the scaled value; adding 0 turns -0.0 into 0.0."""
-    return f"(round_even(CAST(({expr}) AS DOUBLE) * 1e{digits}, 0) / 1e{digits} + 0e0)"
+    """Half-even rounding on the scaled value, further digits settled first; adding 0 turns
+    -0.0 into 0.0."""
+    more = 6 if digits <= 2 else 3
+    settled = f"round_even(CAST(({expr}) AS DOUBLE) * 1e{digits} * 1e{more}, 0) / 1e{more}"
+    return f"(round_even({settled}, 0) / 1e{digits} + 0e0)"
 
 
 _WEATHER = """
@@ -140,6 +143,45 @@ _GAPS = """steps AS (
 )""".format(longest=_r("coalesce(max(date_diff('microsecond', prev, date_time)) / 86400e6, 0)", 1))
 
 
+_COUNTERS = f""", {_GAPS}, uniq AS (SELECT DISTINCT * EXCLUDE (row_ord) FROM valid),
+n AS (SELECT
+  (SELECT count(*) FROM raw) AS rows_raw,
+  (SELECT count(*) FROM parsed WHERE date_time IS NULL) AS invalid_dates_removed,
+  (SELECT count(*) FROM parsed WHERE date_time IS NOT NULL AND (traffic_volume IS NULL OR traffic_volume < 0))
+    AS missing_or_negative_target_removed,
+  (SELECT count(*) FROM valid) - (SELECT count(*) FROM uniq) AS exact_duplicates_removed,
+  (SELECT count(*) FROM uniq) - (SELECT count(*) FROM firsts) AS duplicate_timestamps_removed,
+  (SELECT count(*) FROM firsts WHERE temp < 200 OR temp > 330) AS invalid_temp,
+  (SELECT count(*) FROM firsts WHERE rain_1h < 0 OR rain_1h > 100) AS invalid_rain_1h,
+  (SELECT count(*) FROM firsts WHERE snow_1h < 0 OR snow_1h > 100) AS invalid_snow_1h,
+  (SELECT count(*) FROM firsts WHERE clouds_all < 0 OR clouds_all > 100) AS invalid_clouds_all,
+  (SELECT count(*) FROM firsts WHERE traffic_volume = 0) AS zero_traffic_rows_kept,
+  (SELECT count(*) FROM c) AS rows_clean,
+  (SELECT count(*) FROM labels) AS holiday_days)"""
+
+_STEP_TEXTS = [
+    ("parse_dates", "printf('%d record(s) dropped because their date and time could not be read.', invalid_dates_removed)"),
+    ("valid_target", "printf('%d record(s) dropped because the measured volume is missing or below zero.', "
+     "missing_or_negative_target_removed)"),
+    ("holiday_labels", "printf('%d day(s) carry a holiday label; it was copied to every record of the day "
+     "before any duplicate was removed.', holiday_days)"),
+    ("exact_duplicates", "printf('%d exact copies of other records dropped.', exact_duplicates_removed)"),
+    ("one_per_time", "printf('%d further record(s) shared their timestamp with an earlier one; the first "
+     "in input order was kept.', duplicate_timestamps_removed)"),
+    ("text_fill", "'Days without a holiday read ''None'' and missing weather text reads ''Unknown''.'"),
+    ("bounds", "printf('Implausible readings set to missing, rows kept: temp %d, rain_1h %d, snow_1h %d, clouds_all %d.', "
+     "invalid_temp, invalid_rain_1h, invalid_snow_1h, invalid_clouds_all)"),
+    ("zero_volume", "printf('%d record(s) with volume 0 kept.', zero_traffic_rows_kept)"),
+    ("calendar", "'Calendar columns, weekend and holiday flags and Celsius were added.'"),
+    ("continuity", "printf('%d gap(s) of more than an hour between consecutive records, the longest "
+     "about %.1f day(s); none was filled.', time_gaps, longest_gap_days)"),
+]
+_STEPS = _COUNTERS + "\n" + "\nUNION ALL\n".join(
+    f"SELECT CAST({i} AS INTEGER) AS ord, '{name}' AS step, {text} AS text FROM n, gaps"
+    for i, (name, text) in enumerate(_STEP_TEXTS, 1)
+)
+
+
 def _missing(names, source: str) -> str:
     return "\nUNION ALL\n".join(
         f"SELECT '{n}' AS \"column\", count(*) - count({n}) AS missing FROM {source}" for n in names
@@ -341,6 +383,23 @@ SELECT CAST(ord AS INTEGER) AS ord, fact, label, {_r('value')} AS value FROM (
     traffic_volume FROM top
 )"""
 
+_SENTENCES = _FACTS.replace("SELECT CAST(ord AS INTEGER) AS ord, fact, label", ", facts AS (\nSELECT ord, fact, label") + """),
+w AS (SELECT map_from_entries(list((fact, label))) AS l,
+  map_from_entries(list((fact, format('{:,.0f}', value)))) AS v,
+  map_from_entries(list((fact, format('{:,.1f}', abs(value))))) AS d FROM facts)
+SELECT CAST(1 AS INTEGER) AS ord, 'On average the busiest hour starts at ' || l['busiest_hour'] || ' (mean ' || v['busiest_hour']
+  || ') and the quietest at ' || l['quietest_hour'] || ' (mean ' || v['quietest_hour'] || ').' AS text FROM w
+UNION ALL SELECT 2, l['busiest_day'] || ' has the highest daily mean (' || v['busiest_day'] || '), '
+  || l['quietest_day'] || ' the lowest (' || v['quietest_day'] || ').' FROM w
+UNION ALL SELECT 3, 'The weekday mean of ' || v['weekday_mean'] || ' is ' || d['weekday_vs_weekend_pct'] || ' % '
+  || l['weekday_vs_weekend_pct'] || ' than the weekend mean of ' || v['weekend_mean'] || '.' FROM w
+UNION ALL SELECT 4, 'Weekdays peak at ' || l['weekday_peak'] || ' (' || v['weekday_peak'] || '), weekends at '
+  || l['weekend_peak'] || ' (' || v['weekend_peak'] || ').' FROM w
+UNION ALL SELECT 5, 'At least half of the records exceed ' || v['high_hours'] || ' (the upper quartile) during: '
+  || l['high_hours'] || '.' FROM w
+UNION ALL SELECT 6, 'The highest single record is ' || v['highest_record'] || ' on ' || l['highest_record'] || '.' FROM w"""
+
+
 _SPLIT = """ordered AS (
   SELECT *, row_number() OVER (ORDER BY date_time) - 1 AS pos, count(*) OVER () AS total FROM c
 ), parts AS (
@@ -413,22 +472,9 @@ def oracle_sql() -> dict[str, str]:
         "q2_outlier_summary_lineitem": _outliers(_LINE_COLUMNS, "lineitem"),
         "q3_missing_after": _clean_q(f"SELECT * FROM ({_missing(_CLEAN_NAMES, 'c')}) WHERE missing > 0"),
         "q4_time_gaps": _clean_q(f", {_GAPS}\nSELECT * FROM gaps").replace(")\n, steps", "), steps"),
-        "q6_clean_report": _clean_q(f""", {_GAPS}, uniq AS (SELECT DISTINCT * EXCLUDE (row_ord) FROM valid),
-n AS (SELECT
-  (SELECT count(*) FROM raw) AS rows_raw,
-  (SELECT count(*) FROM parsed WHERE date_time IS NULL) AS invalid_dates_removed,
-  (SELECT count(*) FROM parsed WHERE date_time IS NOT NULL AND (traffic_volume IS NULL OR traffic_volume < 0))
-    AS missing_or_negative_target_removed,
-  (SELECT count(*) FROM valid) - (SELECT count(*) FROM uniq) AS exact_duplicates_removed,
-  (SELECT count(*) FROM uniq) - (SELECT count(*) FROM firsts) AS duplicate_timestamps_removed,
-  (SELECT count(*) FROM firsts WHERE temp < 200 OR temp > 330) AS invalid_temp,
-  (SELECT count(*) FROM firsts WHERE rain_1h < 0 OR rain_1h > 100) AS invalid_rain_1h,
-  (SELECT count(*) FROM firsts WHERE snow_1h < 0 OR snow_1h > 100) AS invalid_snow_1h,
-  (SELECT count(*) FROM firsts WHERE clouds_all < 0 OR clouds_all > 100) AS invalid_clouds_all,
-  (SELECT count(*) FROM firsts WHERE traffic_volume = 0) AS zero_traffic_rows_kept,
-  (SELECT count(*) FROM c) AS rows_clean,
-  (SELECT count(*) FROM labels) AS holiday_days)
+        "q6_clean_report": _clean_q(f"""{_COUNTERS}
 SELECT n.*, gaps.*, rows_raw - rows_clean AS rows_removed FROM n, gaps""").replace(")\n, steps", "), steps"),
+        "q7_steps": _clean_q(_STEPS).replace(")\n, steps", "), steps"),
         "c1_parse_dates": _valid_q("SELECT row_ord, date_time FROM parsed"),
         "c2_coerce": _valid_q("SELECT row_ord, temp, rain_1h, snow_1h, clouds_all, traffic_volume FROM parsed"),
         "c3_valid_target": _valid_q("SELECT row_ord, date_time, traffic_volume FROM valid"),
@@ -536,7 +582,7 @@ WHERE a = 'traffic_volume' AND b <> 'traffic_volume' AND r IS NOT NULL ORDER BY
   {', '.join(f"{_r(f'quantile_cont(l_extendedprice, {p / 100})')} AS p{p}" for p in (1, 25, 50, 75, 99))}
 FROM lineitem GROUP BY 1""",
         "n1_iqr": _obs_q(f", {_HOURLY_FLAGS}\n{_FLAG_SELECT}"),
-        "n1_iqr_low_side": f"WITH {_observations('ln(value)')}, {_HOURLY_FLAGS}\n{_FLAG_SELECT}",
+        "n1_iqr_low_side": f"WITH {_observations('CASE WHEN value > 0 THEN ln(value) END')}, {_HOURLY_FLAGS}\n{_FLAG_SELECT}",
         "n1_iqr_lineitem": f"""WITH {_flags(['l_returnflag', 'l_linestatus'], 'lineitem', 'l_extendedprice')}
 SELECT l_returnflag, l_linestatus, {_r('lower_limit')} AS lower_limit, {_r('upper_limit')} AS upper_limit,
   anomaly_type, count(*) AS count FROM flagged GROUP BY ALL""",
@@ -553,6 +599,7 @@ SELECT ranges FROM ranges"""),
         "x15_high_hour_ranges": _obs_q(
             f", {_HIGH}, {_RANGES.format('high WHERE consistently_high')}\nSELECT ranges FROM ranges"),
         "f1_findings": _obs_q(f", {_FACTS}"),
+        "f1_sentences": _obs_q(f", {_SENTENCES}"),
         "k1_features": _obs_q(f""", {_POINTS}
 SELECT row_ord, {', '.join(f'{_r(f)} AS {f}' if f != 'is_weekend' else f for f in _POINT_FEATURES)} FROM complete"""),
         "k3_summary_fixed_labels": _obs_q(f""", {_POINTS}
@@ -569,10 +616,10 @@ SELECT cluster, string_agg(printf('%02d:00', hour), ', ' ORDER BY hour) AS commo
 SELECT {', '.join(_mode(x) for x in ('hour', 'day_of_week', 'month', 'weather_main'))},
   {', '.join(f"{_r(f'median({x})')} AS {x}" for x in ('temp_c', 'rain_1h', 'snow_1h', 'clouds_all'))} FROM tr"""),
         "l3_baseline": _obs_q(f""", {_SPLIT}
-SELECT row_ord, {_r('traffic_volume', 9)} AS traffic_volume, {_r('p_baseline', 9)} AS p_baseline FROM base"""),
+SELECT row_ord, {_r('traffic_volume')} AS traffic_volume, {_r('p_baseline')} AS p_baseline FROM base"""),
         "l6_metrics": _obs_q(f", {_SPLIT}\n{_metrics(6)}"),
         "l12_window_view": _obs_q(f""", {_SPLIT}
-SELECT date_time, {_r('traffic_volume', 9)} AS actual, {_r('p_baseline', 9)} AS predicted FROM base
+SELECT date_time, {_r('traffic_volume')} AS actual, {_r('p_baseline')} AS predicted FROM base
 WHERE date_time >= TIMESTAMP '2024-01-25' AND date_time < TIMESTAMP '2024-01-28'"""),
         "l13_split_facts": _obs_q(f""", {_SPLIT}
 SELECT part, min(date_time) AS first_ts, max(date_time) AS last_ts, count(*) AS rows FROM parts GROUP BY 1"""),
@@ -580,8 +627,8 @@ SELECT part, min(date_time) AS first_ts, max(date_time) AS last_ts, count(*) AS
         "l14_residual_sample": _obs_q(f""", {_SPLIT}, s AS (
   SELECT row_ord, date_time, traffic_volume AS actual, p_baseline AS predicted FROM base
   ORDER BY md5(concat(CAST(row_ord AS VARCHAR), ':0')), row_ord LIMIT 3000)
-SELECT row_ord, date_time, {_r('actual', 9)} AS actual, {_r('predicted', 9)} AS predicted,
-  {_r('greatest(max(actual) OVER (), max(predicted) OVER ())', 9)} AS axis_max FROM s"""),
+SELECT row_ord, date_time, {_r('actual')} AS actual, {_r('predicted')} AS predicted,
+  {_r('greatest(max(actual) OVER (), max(predicted) OVER ())')} AS axis_max FROM s"""),
     }
     for period, label in _PERIOD.items():
         series = f"""WITH {_ORDERS}, p AS (

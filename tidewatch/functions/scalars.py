@@ -49,9 +49,15 @@ def blank_missing(col: Column) -> Column:
 
 
 def round_to(col: str | Column, digits: int = 0) -> Column:
-    """Round half to even on the scaled value, as NumPy does (Spark's round is half-up)."""
-    scale = F.lit(10.0**digits)
-    return F.rint(column(col) * scale) / scale
+    """Round half to even on the scaled value, as NumPy does (Spark's round is half-up).
+
+    Further digits (six, or three beyond two decimals) are settled first. A distributed sum
+    carries noise in its last bits that depends on the partitioning; without this the noise
+    would decide ties such as 232.5.
+    """
+    scale, noise = F.lit(10.0**digits), F.lit(1e6 if digits <= 2 else 1e3)
+    settled = F.rint(column(col) * scale * noise) / noise
+    return F.rint(settled) / scale
 
 
 def start_of_day(ts: str | Column) -> Column:
@@ -90,9 +96,18 @@ def date_label(ts: str | Column) -> Column:
 
 
 def days_between(later: Column, earlier: Column) -> Column:
-    """Length of an interval in days as a double."""
-    micros = F.timestamp_diff("MICROSECOND", earlier, later).cast("double")
-    return micros / F.lit(86_400_000_000.0)
+    """Length of an interval in days as a double.
+
+    Taken from the parts of the difference of two zone-less timestamps; timestamp_diff would
+    go through the session zone and its clock changes.
+    """
+    gap = later - earlier
+
+    def part(unit: str) -> Column:
+        return F.extract(F.lit(unit), gap).cast("double")
+
+    hours = part("DAY") * 24 + part("HOUR")
+    return ((hours * 60 + part("MINUTE")) * 60 + part("SECOND")) / F.lit(86_400.0)
 
 
 def cyclic_hour(hour: str | Column) -> tuple[Column, Column]:

@@ -60,7 +60,7 @@ def raw_observations(spark: SparkSession, folder: str) -> DataFrame:
 
 def event_observations(spark: SparkSession, folder: str, *, log_volume: bool = False) -> DataFrame:
     """Clean observations at event grain from ``events`` (its timestamps are unique)."""
-    value = F.log(F.col("value")) if log_volume else F.col("value") * 10
+    value = F.when(F.col("value") > 0, F.log("value")) if log_volume else F.col("value") * 10
     k = F.col("k")
     rows = load(spark, folder, "events").withColumn("k", _number()).select(
         F.col("event_id").alias(S.ROW_ORD),
