@@ -331,7 +331,7 @@ _LINE_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def _edges(n: int) -> str:
-    probs = ", ".join(f"CAST('{i / n!r}' AS DOUBLE)" for i in range(n + 1))
+    probs = ", ".join(f"CAST('{i * (1 / n) * 100 / 100 if i < n else 1.0!r}' AS DOUBLE)" for i in range(n + 1))
     return f"list_sort(list_distinct(quantile_cont(x, [{probs}])))"
 
 

@@ -117,7 +117,8 @@ def _input_state(folder: str) -> tuple:
 
 @cache
 def _segments(app: str, folder: str, state: tuple) -> K.Segmentation:
-    return K.run_kmeans(_obs(SparkSession.getActiveSession(), folder))
+    obs = _obs(SparkSession.getActiveSession(), folder)
+    return K.run_kmeans(obs.select(S.ROW_ORD, S.TIME, *K.BASE_COLUMNS))
 
 
 @cache

@@ -34,12 +34,12 @@ def by_group(
     """
     limit = bound if bound is not None else S.group_bound(keys)
     extra = [c for c in groups.columns if c not in keys]
-    renamed = groups.select(*[F.col(k).alias(f"__{k}") for k in keys], *extra)
+    renamed = groups.select(*[F.col(k).alias(f"__key_{k}") for k in keys], *extra)
     if limit is not None and limit <= S.MAX_BROADCAST_GROUPS:
         renamed = F.broadcast(renamed)
     condition = None
     for key in keys:
-        left, right = F.col(key), F.col(f"__{key}")
+        left, right = F.col(key), F.col(f"__key_{key}")
         term = left.eqNullSafe(right) if null_safe else left == right
         condition = term if condition is None else condition & term
     return df.join(renamed, condition, how).select(*df.columns, *extra)

@@ -67,7 +67,7 @@ def start_of_day(ts: str | Column) -> Column:
 
 def pick(names: list[str], index: Column) -> Column:
     """``names[index]`` for a zero-based integer column."""
-    return F.element_at(F.array(*[F.lit(n) for n in names]), index + 1)
+    return F.element_at(F.array(*[F.lit(n) for n in names]), (index + 1).cast("int"))
 
 
 def day_name(day_of_week: str | Column) -> Column:

@@ -30,6 +30,14 @@ def correlations_with(
     return rows.withColumn("strength", strength("r"))
 
 
+def bin_probabilities(bins: int) -> list[float]:
+    """Edges of ``bins`` equal shares. Written as a step times a count and through percent, like
+    the usual DataFrame libraries do, so that a rank that should be whole carries the same
+    last-bit error and the value on the edge lands in the same bin."""
+    step = 1.0 / bins
+    return [i * step * 100 / 100 for i in range(bins)] + [1.0]
+
+
 def quantile_trend(
     df: DataFrame, x: str, target: str = S.TARGET, max_bins: int = 12, min_distinct: int = 10,
     *, distributed=None,
@@ -52,12 +60,12 @@ def quantile_trend(
         .otherwise(F.least("exact", F.lit(max_bins))).alias("bins")
     )
     sizes = list(range(min_distinct + 1, max_bins + 1))
-    probs = sorted({i / n for n in sizes for i in range(n + 1)})
+    probs = sorted({p for n in sizes for p in bin_probabilities(n)})
     found = exact_quantiles(rows, "x", probs, distributed=distributed)
 
     edges = F.lit(None).cast("array<double>")
     for n in sizes:
-        wanted = F.array(*[F.element_at("q", probs.index(i / n) + 1) for i in range(n + 1)])
+        wanted = F.array(*[F.element_at("q", probs.index(p) + 1) for p in bin_probabilities(n)])
         edges = F.when(F.col("bins") == n, F.array_distinct(wanted)).otherwise(edges)
     edge_row = with_row(found.select("q"), counted).select(edges.alias("edges"))
     below = [

@@ -58,21 +58,24 @@ def standardise(df: DataFrame, columns=tuple(FEATURES)) -> DataFrame:
 
 
 def run_kmeans(
-    df: DataFrame, k: int = 4, seed: int = 42, restarts: int = 10, *, parallelism: int = 4
+    df: DataFrame, k: int = 4, seed: int = 42, restarts: int = 10, *, parallelism: int = 4,
+    stored: bool = False,
 ) -> Segmentation:
     """Cluster standardised features; the cheapest of ``restarts`` fits is kept.
 
     Clusters are numbered by mean volume, lowest first, so the ids do not depend on which
-    restart won. The feature table is checkpointed once: every iteration of every fit reads it.
+    restart won. The rows are written to a table first, because every iteration of every fit
+    reads them; say ``stored`` when ``df`` is read straight from a table already. Select the
+    columns worth keeping beforehand.
     """
-    rows = cluster_features(df)
+    rows = df.dropna(subset=BASE_COLUMNS)
+    rows = cluster_features(rows if stored else cut_lineage(rows))
     if rows.limit(10 * k).count() < 10 * k:
         raise ValueError("Too few complete rows to cluster; widen the selection or lower k.")
     scaled = VectorAssembler(
         inputCols=[f"z_{c}" for c in FEATURES], outputCol="features"
     ).transform(standardise(rows)).drop(*[f"z_{c}" for c in FEATURES])
-    scaled = spread(cut_lineage(scaled), S.TIME).persist()
-    features = scaled.select("features").persist()
+    features = spread(scaled.select(S.TIME, "features"), S.TIME).select("features").persist()
 
     def fit(restart: int) -> KMeansModel:
         return KMeans(k=k, seed=seed + restart, maxIter=300, tol=1e-4).fit(features)

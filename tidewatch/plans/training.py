@@ -36,18 +36,19 @@ def fingerprint(df: DataFrame) -> int:
 
 def train_and_evaluate(
     df: DataFrame, test_fraction: float = 0.2, save_to: str | None = None, *, trees: int = 100,
-    seed: int = 42,
+    seed: int = 42, stored: bool = False,
 ) -> Training:
     """Fit the baseline, the linear model and the forest on the earlier rows and evaluate them
     on the later ones. The real model with the lowest RMSE is the best.
 
-    The columns in use are checkpointed once, because each fit reads them many times.
+    The columns in use are written to a table first, because each fit reads them many times;
+    say ``stored`` when ``df`` is read straight from a table already.
     """
     S.require_columns(df, [*R.FEATURES, S.TARGET, S.TIME], "clean table")
     keep = [c for c in [S.ROW_ORD, S.TIME, S.TARGET, *R.FEATURES] if c in df.columns]
-    base = spread(cut_lineage(df.select(*keep)), S.TIME)
+    base = df.select(*keep) if stored else cut_lineage(df.select(*keep))
     split = R.chronological_split(base, test_fraction)
-    train, test = split.train.persist(), split.test
+    train, test = spread(split.train, S.TIME).persist(), split.test
 
     preparation = R.fit_preparation(train)
     prepared = preparation.transform(train).select("features", F.col(S.TARGET).cast("double")).persist()

@@ -27,6 +27,7 @@ def read_raw_csv(
             spark.read.option("header", True)
             .option("inferSchema", False)
             .option("escape", '"')
+            .option("enforceSchema", False)  # every file's header must agree with the first
             .option("multiLine", multiline)
             .csv(path)
         )
