@@ -139,6 +139,32 @@ def test_groups_of_any_column_and_null_keys(spark):
     assert rows[50.0]["lower_limit"] is None and rows[50.0]["anomaly_type"] == "Normal"
 
 
+def test_hot_keys_of_unknown_number_are_split(spark):
+    """A key with most rows, a group table too large to broadcast: the hot partition is split."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        df = spark.range(0, 60_000, 1, 8).select(
+            F.when(F.col("id") % 10 < 6, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 997)).alias("station"),
+            F.rand(4).alias(S.TARGET),
+        )
+        for distributed in (False, True):
+            flagged = N.flag_anomalies(df, ["station"], distributed=distributed)
+            assert len(flagged.collect()) == 60_000
+            assert "skew=true" in flagged._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def test_global_limits_match_pandas(series):
     values = series.select(S.TARGET).toPandas()[S.TARGET]
     q1, q3 = values.quantile(0.25), values.quantile(0.75)

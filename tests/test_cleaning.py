@@ -115,6 +115,8 @@ def test_outliers_remove_nothing_and_one_day_filter(defects):
 def test_outlier_summary_skips_empty_and_absent_columns(spark):
     df = spark.createDataFrame([(1.0, None), (2.0, None), (100.0, None)], "traffic_volume double, temp_c double")
     assert [r["column"] for r in Q.outlier_summary(df).collect()] == ["traffic_volume"]
+    none = Q.outlier_summary(df.select(F.lit(1).alias("other")))
+    assert none.count() == 0 and none.columns == Q.outlier_summary(df).columns
 
 
 def test_cleaning_is_idempotent(defects):

@@ -169,6 +169,16 @@ def test_saved_model_scores_alike(spark, fitted):
     assert by_hour[8][1] == 0 and by_hour[3][1] == 1 and by_hour[8][2] > by_hour[3][2]
 
 
+def test_scoring_fills_in_default_conditions(spark, fitted):
+    fit = fitted[0]
+    bare = spark.createDataFrame([(8, 1, 1)], "hour int, day_of_week int, month int")
+    full = bare.withColumns({c: F.lit(v) for c, v in R.DEFAULT_CONDITIONS.items()})
+    model, column = fit.models[R.FOREST], R.MODELS[R.FOREST]
+    assert R.score(model, bare, column).first()["predicted"] == R.score(model, full, column).first()["predicted"]
+    with pytest.raises(MissingColumnsError):
+        R.score(model, bare.drop("month"), column)
+
+
 def test_no_saved_model(spark, tmp_path):
     assert training.load_model(spark, str(tmp_path / "none")) is None
 

@@ -29,14 +29,19 @@ def by_group(
 
     ``groups`` holds one row per key. It is broadcast only when the number of groups has a
     bound known in advance: the calendar domain of the keys, or ``bound``, the caller's proof
-    for other keys. Otherwise the join strategy is left to adaptive execution, which measures
-    the group side and splits skewed partitions of the row side.
+    for other keys. Otherwise the join strategy is left to adaptive execution, which broadcasts
+    a group side it has measured as small and else splits the partitions of hot keys. The
+    latter needs an exchange right below both sides, which a null-safe condition brings about:
+    it cannot reuse the partitioning of the aggregate that made ``groups``.
     """
     limit = bound if bound is not None else S.group_bound(keys)
     extra = [c for c in groups.columns if c not in keys]
     renamed = groups.select(*[F.col(k).alias(f"__key_{k}") for k in keys], *extra)
     if limit is not None and limit <= S.MAX_BROADCAST_GROUPS:
         renamed = F.broadcast(renamed)
+    elif not null_safe:
+        renamed = renamed.dropna(subset=[f"__key_{k}" for k in keys])
+        null_safe = True
     condition = None
     for key in keys:
         left, right = F.col(key), F.col(f"__key_{key}")

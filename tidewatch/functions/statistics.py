@@ -16,17 +16,19 @@ def adjusted_skewness(value: str | Column) -> Column:
     return F.when(n < 3, None).when(F.min(v) == F.max(v), F.lit(0.0)).otherwise(adjusted)
 
 
-def pearson(x: str | Column, y: str | Column) -> Column:
+def pearson(x: str | Column, y: str | Column, *, complete: bool = False) -> Column:
     """Pearson r over rows where both sides are present; null when either side is constant.
 
     ``corr`` divides by zero on a constant, and a merged variance of a constant need not be
-    exactly zero, so constancy is read off the minimum and maximum.
+    exactly zero, so constancy is read off the minimum and maximum. The regression sums keep
+    central moments, skip incomplete rows themselves, and compile to short code. ``complete``
+    says that no row has a null on either side.
     """
     x, y = column(x).cast("double"), column(y).cast("double")
-    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-    spread = F.stddev_pop(a) * F.stddev_pop(b)
+    a, b = (x, y) if complete else (F.when(y.isNotNull(), x), F.when(x.isNotNull(), y))
     constant = (F.min(a) == F.max(a)) | (F.min(b) == F.max(b))
-    return F.when(~constant, F.covar_pop(a, b) / F.nullif(spread, F.lit(0.0)))
+    spread = F.sqrt(F.regr_sxx(y, x)) * F.sqrt(F.regr_syy(y, x))
+    return F.when(~constant, F.regr_sxy(y, x) / F.nullif(spread, F.lit(0.0)))
 
 
 def strength(r: str | Column) -> Column:

@@ -98,7 +98,7 @@ def correlation_matrix(df: DataFrame, columns=tuple(S.CORRELATION_COLUMNS)) -> D
         )
         for p, (i, j) in enumerate(pairs)
     ]))).where("x IS NOT NULL AND y IS NOT NULL")
-    found = unrolled.groupBy("pair").agg(pearson("x", "y").alias("r"))
+    found = unrolled.groupBy("pair").agg(pearson("x", "y", complete=True).alias("r"))
     names = df.sparkSession.range(0, len(pairs), numPartitions=1).select(
         F.col("id").cast("int").alias("pair"),
         pick([columns[i] for i, _ in pairs], F.col("id").cast("int")).alias("a"),

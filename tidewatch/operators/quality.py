@@ -11,6 +11,12 @@ from tidewatch.functions.quantiles import exact_quantiles
 from tidewatch.functions.scalars import days_between, round_to
 
 
+OUTLIER_SCHEMA = (
+    "column string, min double, max double, lower_fence double, upper_fence double, "
+    "outliers long, outlier_pct double"
+)
+
+
 def _per_column(df: DataFrame, columns, value: str, fn) -> DataFrame:
     """One aggregate over ``columns`` turned into rows (column, value)."""
     wide = df.agg(*[fn(c).alias(c) for c in columns])
@@ -55,6 +61,8 @@ def outlier_summary(
     against the broadcast fences (one row per column).
     """
     columns = [c for c in columns if c in df.columns]
+    if not columns:
+        return df.sparkSession.createDataFrame([], OUTLIER_SCHEMA)
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         [], columns, "column", "value"
     )

@@ -273,9 +273,24 @@ def shown_metrics(table: DataFrame, digits: int = 3) -> DataFrame:
     return table.select("model", *[round_to(c, digits).alias(c) for c in ("MAE", "RMSE", "R2")])
 
 
+# Conditions assumed where a table to score does not give them.
+DEFAULT_CONDITIONS = {
+    "weather_main": "Clear", "temp_c": 10.0, "rain_1h": 0.0, "snow_1h": 0.0, "clouds_all": 40.0,
+    "is_holiday": 0,
+}
+
+
 def score(model: PipelineModel, conditions: DataFrame, prediction: str) -> DataFrame:
-    """Predict a table of conditions. The weekend flag follows from the weekday."""
-    full = conditions.withColumn("is_weekend", (F.col("day_of_week") >= 5).cast("int"))
+    """Predict a table of conditions.
+
+    Hour, weekday and month are needed; other columns the table lacks take their default. The
+    weekend flag follows from the weekday.
+    """
+    S.require_columns(conditions, ["hour", "day_of_week", "month"], "table of conditions")
+    absent = {c: F.lit(v) for c, v in DEFAULT_CONDITIONS.items() if c not in conditions.columns}
+    full = conditions.withColumns(
+        {**absent, "is_weekend": (F.col("day_of_week") >= 5).cast("int")}
+    )
     out = model.transform(full).withColumn("predicted", clip(prediction))
     return out.select(*full.columns, "predicted")
 
