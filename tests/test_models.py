@@ -244,6 +244,15 @@ def test_clusters(segments, series):
     assert 0.05 < segments.silhouette.first()["silhouette"] <= 1
 
 
+def test_every_row_is_with_its_nearest_centre(segments):
+    pdf = K.standardise(segments.rows).toPandas()
+    x, labels = pdf[[f"z_{c}" for c in K.FEATURES]].to_numpy(), pdf["cluster"].to_numpy()
+    centres = np.array([x[labels == i].mean(axis=0) for i in range(4)])
+    distance = ((x[:, None, :] - centres[None, :, :]) ** 2).sum(-1)
+    assert (distance.argmin(axis=1) == labels).mean() > 0.995
+    assert distance[np.arange(len(x)), labels].sum() == pytest.approx(segments.cost, rel=0.01)
+
+
 def test_more_restarts_never_cost_more(series, segments):
     assert segments.cost <= K.run_kmeans(series, restarts=1).cost + 1e-9
 

@@ -455,6 +455,7 @@ _HEAT_COLUMNS = ", ".join(
 _HEAT_NAMES = ", ".join(f"h{h:02d}" for h in range(24))
 
 _PERIOD = {
+    "hourly": "date_time",
     "daily": "CAST(CAST(date_time AS DATE) AS TIMESTAMP)",
     "weekly": "CAST(CAST(date_trunc('week', date_time) AS DATE) + 6 AS TIMESTAMP)",
     "monthly": "CAST(date_trunc('month', date_time) AS TIMESTAMP)",
@@ -554,6 +555,9 @@ QUALIFY row_number() OVER (PARTITION BY day_type ORDER BY mean_traffic DESC, hou
         "t5_anomaly_table_top": _obs_q(
             f", {_HOURLY_FLAGS}\n{_ANOMALY_TABLE} ORDER BY distance_outside_limit DESC, date_time LIMIT 500"),
         "t6_sample": _obs_q("""SELECT row_ord, date_time, traffic_volume FROM c
+ORDER BY md5(concat(CAST(row_ord AS VARCHAR), ':0')), row_ord LIMIT 4000"""),
+        "t6_weather_scatter": _obs_q(f"""SELECT row_ord, {_r('temp_c')} AS temp_c, {_r('traffic_volume')} AS traffic_volume
+FROM c WHERE temp_c IS NOT NULL AND traffic_volume IS NOT NULL
 ORDER BY md5(concat(CAST(row_ord AS VARCHAR), ':0')), row_ord LIMIT 4000"""),
         "m1_distribution": _obs_q(f"""SELECT {_r('avg(traffic_volume)')} AS mean, {_r('median(traffic_volume)')} AS median,
   {_r('stddev_samp(traffic_volume)')} AS std, {_r('skewness(traffic_volume)')} AS skewness, {_r('any_value(q)')} AS q1,
@@ -610,6 +614,10 @@ SELECT cluster, count(*) AS observations, {_r('avg(traffic_volume)', 2)} AS avg_
 SELECT cluster, string_agg(printf('%02d:00', hour), ', ' ORDER BY hour) AS common_hours FROM (
   SELECT cluster, hour, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, hour) AS rn
   FROM complete GROUP BY 1, 2) WHERE rn <= 3 GROUP BY 1"""),
+        "k5_points_fixed_labels": _obs_q(f""", {_POINTS}
+SELECT date_time, hour, {_r('traffic_volume')} AS traffic_volume, {_r('temp_c')} AS temp_c, {_r('clouds_all')} AS clouds_all,
+  cluster, CASE is_weekend WHEN 0 THEN 'Weekday' ELSE 'Weekend' END AS day_type
+FROM complete ORDER BY md5(concat(CAST(row_ord AS VARCHAR), ':1')), row_ord LIMIT 6000"""),
         "k4_silhouette": _obs_q(f", {_SILHOUETTE}"),
         "l1_split": _obs_q(f", {_SPLIT}\nSELECT row_ord, date_time, part FROM parts"),
         "l2_impute_stats": _obs_q(f""", {_SPLIT}, tr AS (SELECT * FROM parts WHERE part = 'train')
@@ -633,6 +641,8 @@ SELECT row_ord, date_time, {_r('actual')} AS actual, {_r('predicted')} AS predic
     for period, label in _PERIOD.items():
         series = f"""WITH {_ORDERS}, p AS (
   SELECT {label} AS date_time, avg(traffic_volume) AS m FROM c GROUP BY 1)"""
+        if period == "hourly":
+            series = f"WITH {_ORDERS}, p AS (SELECT date_time, traffic_volume AS m FROM c)"
         sql[f"a11_resample_{period}"] = f"{series}\nSELECT date_time, {_r('m')} AS traffic_volume FROM p"
         sql[f"a11_facts_{period}"] = (
             f"{series}\nSELECT count(*) AS points, min(date_time) AS first_point, max(date_time) AS last_point FROM p"

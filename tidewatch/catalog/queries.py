@@ -223,6 +223,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "t5_anomaly_table": lambda s, d: N.anomaly_table(_flag(s, d)),
         "t5_anomaly_table_top": lambda s, d: N.anomaly_table(_flag(s, d), 500),
         "t6_sample": lambda s, d: bounded_sample(_obs(s, d).select(S.ROW_ORD, S.TIME, S.TARGET), 4_000),
+        "t6_weather_scatter": lambda s, d: shown(M.scatter_sample(_obs(s, d), "temp_c")),
         # distribution and association
         "m1_distribution": lambda s, d: shown(D.distribution_facts(_obs(s, d))),
         "m2_histogram": lambda s, d: shown(D.histogram(_obs(s, d))),
@@ -271,6 +272,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "f2_common_hours": lambda s, d: K.common_hours(_fixed_labels(s, d)),
         "k4_silhouette": lambda s, d: shown(K.silhouette(_fixed_labels(s, d))),
         "k4_silhouette_fit": lambda s, d: segments(s, d).silhouette,
+        "k5_points_fixed_labels": lambda s, d: shown(K.cluster_points(_fixed_labels(s, d))),
         "k5_cluster_points": lambda s, d: K.cluster_points(segments(s, d).rows),
         # regression
         "l1_split": lambda s, d: _rows_by_part(s, d).select(S.ROW_ORD, S.TIME, "part"),
@@ -288,7 +290,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "l13_shown_metrics": lambda s, d: R.shown_metrics(R.metrics(_baseline(s, d))),
         "l14_residual_sample": lambda s, d: shown(R.residual_sample(_baseline(s, d), "p_baseline")),
     }
-    for period in ("daily", "weekly", "monthly"):
+    for period in ("hourly", "daily", "weekly", "monthly"):
         q[f"a11_resample_{period}"] = lambda s, d, p=period: shown(
             A.resample(tables.order_observations(s, d), p)
         )

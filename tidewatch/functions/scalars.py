@@ -60,6 +60,12 @@ def round_to(col: str | Column, digits: int = 0) -> Column:
     return F.rint(settled) / scale
 
 
+def ntz(value) -> Column:
+    """A zone-less timestamp literal. Written as text: a literal made from a Python datetime
+    would carry the session zone."""
+    return F.lit(str(value)).cast("timestamp_ntz")
+
+
 def start_of_day(ts: str | Column) -> Column:
     """Midnight as timestamp_ntz. Goes through DATE, so no session zone is involved."""
     return column(ts).cast("date").cast("timestamp_ntz")

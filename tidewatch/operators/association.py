@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewatch import schema as S
 from tidewatch.functions.attach import with_row
 from tidewatch.functions.quantiles import exact_quantiles
+from tidewatch.functions.sampling import bounded_sample
 from tidewatch.functions.scalars import pick, round_to
 from tidewatch.functions.statistics import pearson, strength
 
@@ -30,6 +31,15 @@ def correlations_with(
     return rows.withColumn("strength", strength("r"))
 
 
+def scatter_sample(
+    df: DataFrame, x: str, target: str = S.TARGET, n: int = 4_000, seed: int = 0,
+    key: str = S.ROW_ORD,
+) -> DataFrame:
+    """A bounded sample of rows that have both values, for a scatter plot."""
+    present = df.where(F.col(x).isNotNull() & F.col(target).isNotNull())
+    return bounded_sample(present.select(key, x, target), n, key, seed)
+
+
 def bin_probabilities(bins: int) -> list[float]:
     """Edges of ``bins`` equal shares. Written as a step times a count and through percent, like
     the usual DataFrame libraries do, so that a rank that should be whole carries the same
