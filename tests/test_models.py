@@ -190,7 +190,7 @@ def test_importances(fitted):
     assert [r["importance"] for r in table] == sorted((r["importance"] for r in table), reverse=True)
     everything = fit.importance(10**6).agg(F.sum("importance")).first()[0]
     assert everything == pytest.approx(1.0)
-    assert R.feature_importance(fit.models[R.LINEAR].stages[-1], fit.names) is None
+    assert R.feature_importance(None, fit.models[R.LINEAR].stages[-1], fit.names) is None
 
 
 def test_fingerprint_tells_equal_lengths_apart(series):

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,25 +114,24 @@ def _input_state(folder: str) -> tuple:
     return (path, os.path.getmtime(path)) if os.path.exists(path) else (path, None)
 
 
-@cache
-def _segments(app: str, folder: str, state: tuple) -> K.Segmentation:
-    obs = _obs(SparkSession.getActiveSession(), folder)
-    return K.run_kmeans(obs.select(S.ROW_ORD, S.TIME, *K.BASE_COLUMNS))
+_FITS: dict[tuple, object] = {}
 
 
-@cache
-def _trained(app: str, folder: str, state: tuple) -> training.Training:
-    return training.train_and_evaluate(_obs(SparkSession.getActiveSession(), folder))
+def _fit_once(kind: str, spark: SparkSession, folder: str, fit):
+    """Fitted once per session and state of the input; several queries show parts of it."""
+    key = (kind, spark.sparkContext.applicationId, *_input_state(folder))
+    if key not in _FITS:
+        _FITS[key] = fit(_obs(spark, folder))
+    return _FITS[key]
 
 
 def segments(spark: SparkSession, folder: str) -> K.Segmentation:
-    """Clusters of the observations, fitted once per session and input."""
-    return _segments(spark.sparkContext.applicationId, folder, _input_state(folder))
+    columns = [S.ROW_ORD, S.TIME, *K.BASE_COLUMNS]
+    return _fit_once("segments", spark, folder, lambda obs: K.run_kmeans(obs.select(*columns)))
 
 
 def trained(spark: SparkSession, folder: str) -> training.Training:
-    """Models of the observations, fitted once per session and input."""
-    return _trained(spark.sparkContext.applicationId, folder, _input_state(folder))
+    return _fit_once("models", spark, folder, training.train_and_evaluate)
 
 
 def _conditions(spark, folder):

@@ -26,7 +26,8 @@ class Training:
     metadata: dict
 
     def importance(self, n: int = 15) -> DataFrame:
-        return R.feature_importance(self.models[R.FOREST].stages[-1], self.names, n)
+        forest = self.models[R.FOREST].stages[-1]
+        return R.feature_importance(self.scored.sparkSession, forest, self.names, n)
 
 
 def fingerprint(df: DataFrame) -> int:
