@@ -10,7 +10,7 @@ from tidewatch.operators import regression as R
 from tidewatch.operators import segmentation as K
 from tidewatch.plans import training
 from tidewatch.plans.cleaning import clean
-from tidewatch.session import cut_lineage, shared_folder
+from tidewatch.session import cut_lineage, memory_per_task, shared_folder
 
 
 # --- split -------------------------------------------------------------------------------------
@@ -315,3 +315,20 @@ def test_lineage_is_cut_into_the_named_folder(spark, series):
     table = cut_lineage(series.select(S.ROW_ORD, S.TARGET))
     assert table.count() == series.count()
     assert all(shared_folder(spark).replace("file:", "") in f for f in table.inputFiles())
+
+
+@pytest.mark.parametrize("memory, megabytes", [("1g", 128), ("16g", 2048), ("2048m", 256), ("2147483648", 256)])
+def test_memory_per_task(spark, memory, megabytes):
+    class Context:
+        master, defaultParallelism = "local[8]", 8
+
+        @staticmethod
+        def getConf():
+            return {"spark.driver.memory": memory}
+
+    class Session:
+        sparkContext = Context
+
+    assert memory_per_task(Session) == megabytes
+    assert R.random_forest(1000, task_memory=128).getMaxMemoryInMB() == 16
+    assert R.random_forest(1000).getMaxMemoryInMB() == 256

@@ -209,14 +209,17 @@ def linear_regression(prediction: str = MODELS[LINEAR]) -> LinearRegression:
 
 
 def random_forest(
-    rows: int, trees: int = 100, leaf: int = 3, seed: int = 42, prediction: str = MODELS[FOREST]
+    rows: int, trees: int = 100, leaf: int = 3, seed: int = 42, prediction: str = MODELS[FOREST],
+    task_memory: int = 2048,
 ) -> RandomForestRegressor:
+    """``task_memory`` (MB) bounds the node statistics a task builds at a time: an eighth of it,
+    at most Spark's default. Less memory means more passes, not another result."""
     return RandomForestRegressor(
         featuresCol="features", labelCol=S.TARGET, predictionCol=prediction, numTrees=trees,
         minInstancesPerNode=leaf, maxDepth=forest_depth(rows, trees, leaf),
         featureSubsetStrategy="all", seed=seed,
         # Deep trees: keep each row's node instead of shipping the growing forest every level.
-        cacheNodeIds=True, checkpointInterval=10,
+        cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=max(8, min(256, task_memory // 8)),
     )
 
 

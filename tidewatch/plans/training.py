@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import schema as S
 from tidewatch.operators import regression as R
-from tidewatch.session import cut_lineage, spread
+from tidewatch.session import cut_lineage, memory_per_task, spread
 
 
 @dataclass
@@ -54,7 +54,9 @@ def train_and_evaluate(
     preparation = R.fit_preparation(train)
     prepared = preparation.transform(train).select("features", F.col(S.TARGET).cast("double")).persist()
     linear = R.linear_regression().fit(prepared)
-    forest = R.random_forest(split.train_rows, trees=trees, seed=seed).fit(prepared)
+    forest = R.random_forest(
+        split.train_rows, trees=trees, seed=seed, task_memory=memory_per_task(df.sparkSession)
+    ).fit(prepared)
     prepared.unpersist()
 
     scored = preparation.transform(R.baseline_predictions(train, test))

@@ -60,6 +60,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+_UNITS = {"k": 1 / 1024, "m": 1, "g": 1024, "t": 1024 * 1024}
+
+
+def memory_per_task(spark: SparkSession) -> int:
+    """Heap megabytes one concurrent task can count on, from the session's settings."""
+    context = spark.sparkContext
+    local = context.master.startswith("local")
+    conf = context.getConf()
+    text = conf.get("spark.driver.memory" if local else "spark.executor.memory", "1g").lower().rstrip("b")
+    heap = float(text[:-1]) * _UNITS[text[-1]] if text[-1] in _UNITS else float(text) / 2**20
+    tasks = context.defaultParallelism if local else int(conf.get("spark.executor.cores", "1"))
+    return max(1, int(heap / tasks))
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Give a stored table at least one partition per core.
 
