@@ -188,7 +188,7 @@ def write_token_files(
                 if writer is None:
                     name = f"{uuid.uuid4().hex}.zst"
                     system.create_dir(inner, recursive=True)
-                    out = system.open_output_stream(f"{inner}/{name}")
+                    out = system.open_output_stream(f"{inner}/{name}", compression=None)
                     writer, first, seq = FrameWriter(out), part.column("doc_id")[0].as_py(), part.column("seq")[0].as_py()
                 ids, counts = encode_texts(part.column("text"), tokenizer_file, end_id)
                 at = 0
