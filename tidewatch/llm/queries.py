@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import pieces, token_frames
+from tidewatch.llm import pieces, simhash, token_frames
+
+
+#: Where this package is on this machine. On a cluster it is installed, or shipped by --py-files.
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of ``folder``. Also lets Python workers of a local session import this package."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -25,9 +32,13 @@ def op4_token_frames(spark: SparkSession, folder: str) -> DataFrame:
     return token_frames.encode_and_read_back(docs, tokenizer_path("word_bpe_49k.json"), end_id=2)
 
 
+def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"), shingle=3, most_bits=2)
+
+
 def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.round_trip(table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_frames, op10_pieces)}
+    return {f.__name__: f for f in (op4_token_frames, op7_simhash, op10_pieces)}

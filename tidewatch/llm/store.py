@@ -36,3 +36,12 @@ def file_system(path: str):
 def as_uri(path: str) -> str:
     """``file:/x`` as the ``file:///x`` that pyarrow reads; other paths as they are."""
     return "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a table made by :func:`written` that nothing reads any more."""
+    spark = df.sparkSession
+    for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/corpus/" in file:
+            path = spark._jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
