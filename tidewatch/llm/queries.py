@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import pieces, quality_model, simhash, token_frames
+from tidewatch.llm import licenses, pieces, quality_model, simhash, token_frames
 
 
 #: Where this package is on this machine. On a cluster it is installed, or shipped by --py-files.
@@ -36,6 +36,10 @@ def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"), shingle=3, most_bits=2)
 
 
+def op8_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, folder, "documents")).drop("spans")
+
+
 def op9_quality_model(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = quality_model.fit_quality(docs, table(spark, folder, "labels"))
@@ -47,4 +51,4 @@ def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_frames, op7_simhash, op9_quality_model, op10_pieces)}
+    return {f.__name__: f for f in (op4_token_frames, op7_simhash, op8_licenses, op9_quality_model, op10_pieces)}
