@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewatch.llm import licenses, pieces, quality_model, simhash, token_frames
+from tidewatch.llm import decontaminate, licenses, pieces, quality_model, sharding, simhash, token_frames
 
 
 #: Where this package is on this machine. On a cluster it is installed, or shipped by --py-files.
@@ -27,6 +28,15 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, folder, "documents"), shards=8).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op4_token_frames(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return token_frames.encode_and_read_back(docs, tokenizer_path("word_bpe_49k.json"), end_id=2)
@@ -51,4 +61,4 @@ def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_frames, op7_simhash, op8_licenses, op9_quality_model, op10_pieces)}
+    return {f.__name__: f for f in (op1_sharding, op3_decontaminate, op4_token_frames, op7_simhash, op8_licenses, op9_quality_model, op10_pieces)}
