@@ -7,10 +7,10 @@ record finds its range by binary search. Ranges are measured, and one that came
 sampled again within itself and subdivided until none is above the bound (or holds one record).
 Only then are records shuffled, by range, so no task gets more than a bounded range. Prefix sums
 over the ranges and running sums within a range give each record's place in the whole order;
-a shard is the next ``1 / shards`` of the bytes. A group of equal texts that a cut would divide
-goes whole to the shard of its first record if it is below ``WHOLE`` of a shard.
+a shard is the next ``1 / shards`` of the bytes, and a record belongs where its middle falls. A
+group of equal texts within a range goes whole to one shard if it is below ``WHOLE`` of a shard.
 
-Sizes differ from equal by at most the largest record plus ``WHOLE`` of a shard. Only splitters
+Cuts are off by at most half of the largest record or of ``WHOLE`` of a shard. Only splitters
 and range totals, both bounded by the number of ranges, go through the driver.
 
 A null text has size 1 and its own key; null ids order first. Rows that are equal in both are
@@ -139,9 +139,9 @@ def assign_shards(docs: DataFrame, shards: int, ranges_per_shard: int = 32, id_c
         .withColumn("place", F.row_number().over(order) - 1)
         .withColumn("group_bytes", F.sum("size").over(group)).withColumn("group_start", F.min(F.col("end") - F.col("size")).over(group))
     )
-    start = F.when(F.col("group_bytes") <= WHOLE * share, F.col("group_start")).otherwise(F.col("end") - F.col("size"))
+    middle = F.when(F.col("group_bytes") <= WHOLE * share, F.col("group_start") + F.col("group_bytes") / 2).otherwise(F.col("end") - F.col("size") / 2)
     placed = written(
-        ordered.join(base, "range").withColumn("shard", F.least(F.floor((F.col("base_bytes") + start) * shards / total), F.lit(shards - 1)).cast("int"))
+        ordered.join(base, "range").withColumn("shard", F.least(F.floor((F.col("base_bytes") + middle) * shards / total), F.lit(shards - 1)).cast("int"))
         .select("doc_id", "size", "text_crc32", "shard", (F.col("base_rows") + F.col("place")).alias("rank")), "shard-places")
     first = F.broadcast(placed.groupBy("shard").agg(F.min("rank").alias("first")))  # one row per shard
     return placed.join(first, "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("rank") - F.col("first")).alias("slot"))
