@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, licenses, pieces, quality_model, quality_rules, sharding, simhash, token_frames
+from tidewatch.llm import decontaminate, licenses, line_dedup, pieces, quality_model, quality_rules, sharding, simhash, token_frames
 
 
 #: Where this package is on this machine. On a cluster it is installed, or shipped by --py-files.
@@ -42,6 +42,10 @@ def op4_token_frames(spark: SparkSession, folder: str) -> DataFrame:
     return token_frames.encode_and_read_back(docs, tokenizer_path("word_bpe_49k.json"), end_id=2)
 
 
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, folder, "documents"), similarity=0.8)
+
+
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(table(spark, folder, "documents"))
 
@@ -65,4 +69,4 @@ def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_decontaminate, op4_token_frames, op6_quality_rules, op7_simhash, op8_licenses, op9_quality_model, op10_pieces)}
+    return {f.__name__: f for f in (op1_sharding, op3_decontaminate, op4_token_frames, op5_line_dedup, op6_quality_rules, op7_simhash, op8_licenses, op9_quality_model, op10_pieces)}
