@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, licenses, line_dedup, pieces, quality_model, quality_rules, sharding, simhash, token_frames
+from tidewatch.llm import decontaminate, licenses, line_dedup, pieces, quality_model, quality_rules, repeats, sharding, simhash, token_frames
 
 
 #: Where this package is on this machine. On a cluster it is installed, or shipped by --py-files.
@@ -33,6 +33,10 @@ def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, folder, "documents"), length=100, texts=False).drop("kept")
+
+
 def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -69,4 +73,4 @@ def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_decontaminate, op4_token_frames, op5_line_dedup, op6_quality_rules, op7_simhash, op8_licenses, op9_quality_model, op10_pieces)}
+    return {f.__name__: f for f in (op1_sharding, op2_repeats, op3_decontaminate, op4_token_frames, op5_line_dedup, op6_quality_rules, op7_simhash, op8_licenses, op9_quality_model, op10_pieces)}
