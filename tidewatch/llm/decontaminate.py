@@ -261,5 +261,5 @@ def without_overlaps(docs: DataFrame, items: DataFrame, least: int = 13, share:
 
     Rows with a null id are kept unless any row with a null id overlaps.
     """
-    bad = overlaps(docs, items, least, share).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("bad_id")), "left_anti")
+    bad = overlaps(docs, items, least, share).select(F.col("doc_id").alias("__bad_id")).distinct()
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("__bad_id")), "left_anti")

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.store import written
+from tidewatch.llm.store import row_hash, written
 
 LEAST_WORDS = 50
 MOST_REPEATED = 50  # percent of words
@@ -128,3 +128,11 @@ def judge(docs: DataFrame, **columns) -> DataFrame:
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & F.coalesce(within, F.lit(False))).alias("kept"))
+
+
+def without_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, all columns as they are."""
+    rows = docs.withColumn("__own", row_hash(docs))
+    verdicts = judge(rows, id_col="__own", text_col=text_col, lang_col=lang_col, source_col=source_col)
+    rejected = verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("__own")).distinct()
+    return rows.join(rejected, "__own", "left_anti").select(*(F.col(c) for c in docs.columns))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.components import components
 from tidewatch.llm.flat import slices
-from tidewatch.llm.store import written
+from tidewatch.llm.store import row_hash, written
 
 BITS = 64
 SEED = 42
@@ -58,16 +58,16 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint of each row's text as a signed 64-bit integer."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """(doc_id, row, fp): a hash of the row and its text's fingerprint as a signed 64-bit integer."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_hash(docs).alias("row"), F.col(text_col).cast("string").alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 prints = np.array([fingerprint(t, shingle) for t in part.column("text").to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(prints.view(np.int64))], ["doc_id", "row", "fp"])
 
-    return rows.mapInArrow(work, "doc_id long, fp long")
+    return rows.mapInArrow(work, "doc_id long, row long, fp long")
 
 
 def segment_masks(most_bits: int) -> list[int]:
@@ -109,18 +109,36 @@ def near_pairs(prints: DataFrame, most_bits: int = 2) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def _grouped(docs: DataFrame, shingle: int, most_bits: int, id_col: str, text_col: str) -> DataFrame:
+    """(fp, doc_id, row, component_id) for every row."""
+    prints = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
+    heads = written(prints.groupBy("fp").agg(F.min("doc_id").alias("head")), "heads")
+    labels = components(near_pairs(heads.select("fp"), most_bits)).withColumnRenamed("node", "fp")
+    joined = heads.join(labels, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    least = joined.groupBy("component").agg(F.min("head").alias("component_id"))
+    known = joined.select("fp", "component").join(least, "component").select("fp", "component", "component_id")
+    return prints.join(known, "fp")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, most_bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id), one row per input row.
 
     ``fingerprint`` as 16 lowercase hex digits; ``component_id`` is the smallest id that can be
     reached over links of at most ``most_bits`` differing bits, the row's own included.
     """
-    prints = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    heads = written(prints.groupBy("fp").agg(F.min("doc_id").alias("head")), "heads")
-    labels = components(near_pairs(heads.select("fp"), most_bits)).withColumnRenamed("node", "fp")
-    joined = heads.join(labels, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = joined.groupBy("component").agg(F.min("head").alias("component_id"))
-    known = joined.select("fp", "component").join(least, "component").select("fp", "component_id")
-    return prints.join(known, "fp").select(
+    return _grouped(docs, shingle, most_bits, id_col, text_col).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, most_bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are the first of their group by id, one for each group.
+
+    Of rows of one id within a group the one with the least hash of its columns stays, and of
+    equal rows one.
+    """
+    grouped = _grouped(docs, shingle, most_bits, id_col, text_col)
+    first = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("row").alias("__row"))
+    rows = docs.withColumn("__own", row_hash(docs))
+    kept = rows.join(first.select("__row"), F.col("__own") == F.col("__row"), "left_semi")
+    return kept.dropDuplicates(["__own"]).select(*(F.col(c) for c in docs.columns))

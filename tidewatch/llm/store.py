@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -45,3 +46,8 @@ def dropped(df: DataFrame) -> None:
         if "/corpus/" in file:
             path = spark._jvm.org.apache.hadoop.fs.Path(file)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A 64-bit hash of all columns of a row, to find it again: equal rows have equal hashes."""
+    return F.xxhash64(*(F.coalesce(df[c].cast("string"), F.lit("\0")) for c in df.columns))
