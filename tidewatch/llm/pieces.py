@@ -70,6 +70,9 @@ class PieceTable:
         blobs = [b"" if special[i] else p.replace(SPACE, " ").encode() for i, p in enumerate(names)]
         for value, i in enumerate(self.byte_ids):
             blobs[i] = bytes([value])
+        if model.unk_id() >= 0:
+            blobs[model.unk_id()] = " \u2047 ".encode()  # what the library writes for it (fixed value)
+        self.spaced = np.array([p.startswith(SPACE) and not special[i] for i, p in enumerate(names)])
         self.blob = np.frombuffer(b"".join(blobs), np.uint8)
         self.blob_lengths = np.array([len(b) for b in blobs], np.int64)
         self.blob_starts = np.cumsum(self.blob_lengths) - self.blob_lengths
@@ -200,11 +203,12 @@ class PieceTable:
         """
         lengths = self.blob_lengths[ids]
         data = gather(self.blob, self.blob_starts[ids], lengths)
-        ends = np.r_[0, np.cumsum(lengths)][np.cumsum(counts)]
+        last = np.cumsum(counts)
+        ends = np.r_[0, np.cumsum(lengths)][last]
+        spaced = self.spaced[np.r_[ids, 0][last - counts]] & (counts > 0)
         raw, out, at = data.tobytes(), [], 0
-        for end, n in zip(ends.tolist(), counts.tolist()):
-            text = raw[at:end]
-            out.append(text[1:] if text[:1] == b" " else text)
+        for end, space in zip(ends.tolist(), spaced.tolist()):
+            out.append(raw[at + space: end])
             at = end
         return [t if _is_utf8(t) else _replace_stray(t) for t in out]
 
