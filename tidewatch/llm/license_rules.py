@@ -155,6 +155,8 @@ def rules() -> list[Rule]:
         Rule(label, _words(form.format(name=name, short=short)), frozenset(keys.split()), priority, weight)
         for priority, weight, form in STATED for label, name, short, keys in NAMES
     ]
+    # A full name that ends in its version says enough by itself.
+    found += [Rule(label, _words(name), frozenset(keys.split()), 3, 0.8) for label, name, _, keys in NAMES if "public license" in name]
     found += [Rule(label, _words(text), frozenset(keys.split()), priority, weight) for label, priority, weight, text, keys in SENTENCES]
     return sorted(found, key=lambda r: r.priority)
 
