@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-import math
+import tempfile
 from datetime import datetime, timedelta
 from random import Random
 
@@ -22,21 +22,25 @@ def spark():
     session = build_session(
         "tests", "local[8]",
         **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g",
-           "spark.ui.showConsoleProgress": "false"},
+           "spark.ui.showConsoleProgress": "false", "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="tests-")},
     )
     session.sparkContext.setLogLevel("ERROR")
     return session
 
 
-# One defect a row: a good Friday hour, its exact copy, the hour again with other weather, an
-# impossible temperature, a labelled midnight with impossible rain, the next hour unlabelled.
+# Nine records of four days: one good hour that occurs three times over and once more with other
+# weather; a temperature, a snowfall, a rainfall and a cloud cover that cannot be; a day with a
+# label; an hour without volume. Not in order of time.
 DEFECT_ROWS = [
-    ("None", 275.5, 0.0, 0.0, 30, "Mist", "thin mist", "2019-03-01 07:00:00", 4200.0),
-    ("None", 275.5, 0.0, 0.0, 30, "Mist", "thin mist", "2019-03-01 07:00:00", 4200.0),
-    ("None", 276.0, 0.2, 0.0, 75, "Drizzle", "some drizzle", "2019-03-01 07:00:00", 4200.0),
-    ("None", 0.0, 0.0, 0.0, 5, "Clear", "clear", "2019-03-02 02:00:00", 250.0),
-    ("Spring Day", 279.0, 7000.0, 0.0, 10, "Clear", "clear", "2019-03-03 00:00:00", 800.0),
-    ("None", 279.0, 0.0, 0.0, 10, "Clear", "clear", "2019-03-03 01:00:00", 600.0),
+    ("None", 281.4, 0.0, 0.0, 62, "Rain", "steady rain", "2021-11-11 18:00:00", 3100.0),
+    ("None", 279.0, 0.0, 250.0, 20, "Snow", "much snow", "2021-11-13 09:00:00", 700.0),
+    ("None", 281.4, 0.0, 0.0, 62, "Rain", "steady rain", "2021-11-11 18:00:00", 3100.0),
+    ("None", 150.0, 0.0, 0.0, 15, "Clear", "clear", "2021-11-11 03:00:00", 120.0),
+    ("Harvest Home", 279.9, 0.0, 0.0, 20, "Clear", "clear", "2021-11-13 00:00:00", 900.0),
+    ("None", 282.0, 0.4, 0.0, 80, "Fog", "low fog", "2021-11-11 18:00:00", 3050.0),
+    ("None", 281.4, 0.0, 0.0, 62, "Rain", "steady rain", "2021-11-11 18:00:00", 3100.0),
+    ("None", 280.0, -3.0, 0.0, 40, "Mist", "mist", "2021-11-14 21:00:00", 0.0),
+    ("None", 283.2, 0.0, 0.0, 130, "Clouds", "overcast", "2021-11-15 06:00:00", 2000.0),
 ]
 
 
@@ -49,31 +53,32 @@ def defects(spark):
     return raw_frame(spark, DEFECT_ROWS)
 
 
-def hourly_rows(days: int, seed: int = 7):
-    """Two daily humps, quieter weekends, a little noise, one spike at row 100."""
+SPIKE_ROW, SPIKE = 777, 12_500.0
+
+
+def hourly_rows(days: int, seed: int = 23):
+    """From a Monday in September: a tent around 13 h, a short rise at 20 h, calm Sundays and
+    Saturdays, a slow growth over the weeks, and one spike. Cloud cover lowers the volume a little."""
     rng = Random(seed)
-    start = datetime(2017, 1, 1)
     rows = []
-    for i in range(24 * days):
-        ts = start + timedelta(hours=i)
-        level = 500.0
-        for centre, height in ((8, 3000.0), (17, 3500.0)):
-            level += height * math.exp(-((ts.hour - centre) ** 2) / 8)
-        level *= 0.6 if ts.weekday() >= 5 else 1.0
-        volume = max(0.0, float(round(level + rng.gauss(0, 80))))
-        if i == 100:
-            volume = 9000.0
+    for n in range(24 * days):
+        when = datetime(2022, 9, 5) + timedelta(hours=n)
+        tent = max(0, 6 - abs(when.hour - 13)) * 450
+        late = 700 if when.hour == 20 else 0
+        share = 0.5 if when.weekday() > 4 else 1.0
+        clouds = rng.choice((0, 20, 75, 90))
+        volume = 300 + share * (tent + late) + n * 0.05 - clouds * 0.4 + rng.uniform(-60, 60)
         rows.append((
-            "None", 280 + rng.gauss(0, 3), 0.0, 0.0, rng.randrange(100), "Clear", "sky is clear",
-            ts.strftime("%Y-%m-%d %H:%M:%S"), volume,
+            "None", 288.0 + rng.uniform(-6, 6), 0.0, 0.0, clouds, rng.choice(("Clear", "Clouds")), "sky",
+            when.strftime("%Y-%m-%d %H:%M:%S"), SPIKE if n == SPIKE_ROW else float(round(volume)),
         ))
     return rows
 
 
 @pytest.fixture(scope="session")
 def series(spark):
-    """Sixty clean days of hourly observations."""
-    return clean(raw_frame(spark, hourly_rows(60))).select(
+    """Ten clean weeks of hourly observations."""
+    return clean(raw_frame(spark, hourly_rows(70))).select(
         S.ROW_ORD, *S.REQUIRED_COLUMNS, "temp_c", "hour", "day", "month", "year", "day_of_week",
         "day_name", "month_name", "is_weekend", "is_holiday", "date",
     ).persist()

@@ -14,33 +14,34 @@ from tidewatch.plans import cleaning
 def test_one_row_per_timestamp_and_counts(defects):
     cleaned = cleaning.clean(defects)
     r = cleaning.report(defects).first()
-    assert cleaned.count() == cleaned.select(S.TIME).distinct().count() == 4 == r["rows_clean"]
-    assert r["exact_duplicates_removed"] == 1 and r["duplicate_timestamps_removed"] == 1
-    assert r["rows_raw"] == 6 and r["rows_removed"] == 2
+    assert cleaned.count() == cleaned.select(S.TIME).distinct().count() == 6 == r["rows_clean"]
+    assert r["exact_duplicates_removed"] == 2 and r["duplicate_timestamps_removed"] == 1
+    assert r["rows_raw"] == 9 and r["rows_removed"] == 3
+    assert cleaned.where("hour = 18").first()["weather_main"] == "Rain"
 
 
 def test_impossible_values_are_nulled_not_dropped(defects):
     r = cleaning.report(defects).first()
-    assert (r["invalid_temp"], r["invalid_rain_1h"]) == (1, 1)
-    saturday = cleaning.clean(defects).where("day_name = 'Saturday'").first()
-    assert saturday["temp"] is None and saturday["temp_c"] is None
-    assert saturday["traffic_volume"] == 250
+    assert [r[f"invalid_{c}"] for c in S.LIMITS] == [1, 1, 1, 1] and r["zero_traffic_rows_kept"] == 1
+    cold = cleaning.clean(defects).where("hour = 3").first()
+    assert cold["temp"] is None and cold["temp_c"] is None
+    assert cold["traffic_volume"] == 120
 
 
 def test_calendar_features(defects):
-    friday = cleaning.clean(defects).where("day_name = 'Friday'").first()
-    assert (friday["hour"], friday["day"], friday["month"], friday["year"]) == (7, 1, 3, 2019)
-    assert (friday["month_name"], friday["day_of_week"], friday["is_weekend"]) == ("Mar", 4, 0)
-    assert friday["date"] == dt.datetime(2019, 3, 1)
-    assert friday["temp_c"] == pytest.approx(275.5 - 273.15)
-    assert cleaning.clean(defects).where("day_name = 'Saturday'").first()["is_weekend"] == 1
+    r = cleaning.clean(defects).where("hour = 18").first()
+    assert (r["day_name"], r["hour"], r["day"], r["month"], r["year"]) == ("Thursday", 18, 11, 11, 2021)
+    assert (r["month_name"], r["day_of_week"], r["is_weekend"]) == ("Nov", 3, 0)
+    assert r["date"] == dt.datetime(2021, 11, 11)
+    assert r["temp_c"] == pytest.approx(281.4 - 273.15)
+    assert cleaning.clean(defects).where("is_weekend = 1").select("day").distinct().count() == 2
 
 
 def test_label_covers_its_day(defects):
-    sunday = cleaning.clean(defects).where("day_name = 'Sunday'").collect()
-    assert {(r["holiday"], r["is_holiday"]) for r in sunday} == {("Spring Day", 1)}
-    assert len(sunday) == 2
-    others = cleaning.clean(defects).where("day_name <> 'Sunday'").collect()
+    labelled = cleaning.clean(defects).where("day = 13").collect()
+    assert {(r["holiday"], r["is_holiday"]) for r in labelled} == {("Harvest Home", 1)}
+    assert len(labelled) == 2
+    others = cleaning.clean(defects).where("day <> 13").collect()
     assert {(r["holiday"], r["is_holiday"]) for r in others} == {("None", 0)}
 
 
@@ -58,7 +59,7 @@ def test_label_survives_the_loss_of_its_row(spark):
 def test_text_fill_and_negative_target(spark):
     rows = [list(r) for r in DEFECT_ROWS]
     rows[0][5] = None
-    rows[5][8] = -5.0
+    rows[8][8] = -5.0
     cleaned = cleaning.clean(raw_frame(spark, rows))
     assert "Unknown" in {r["weather_main"] for r in cleaned.collect()}
     assert cleaned.where("traffic_volume < 0").count() == 0
@@ -108,8 +109,8 @@ def test_outliers_remove_nothing_and_one_day_filter(defects):
     cleaned = cleaning.clean(defects)
     table = {r["column"]: r for r in Q.outlier_summary(cleaned).collect()}
     assert "traffic_volume" in table and table["temp_c"]["outlier_pct"] >= 0
-    assert cleaned.count() == 4
-    assert C.filter_by_date(cleaned, "2019-03-02", "2019-03-02").count() == 1
+    assert cleaned.count() == 6
+    assert C.filter_by_date(cleaned, "2021-11-13", "2021-11-13").count() == 2
 
 
 def test_outlier_summary_skips_empty_and_absent_columns(spark):

@@ -10,7 +10,7 @@ from tidewatch.operators import regression as R
 from tidewatch.operators import segmentation as K
 from tidewatch.plans import training
 from tidewatch.plans.cleaning import clean
-from tidewatch.session import cut_lineage, memory_per_task, shared_folder
+from tidewatch.session import cut_lineage, memory_per_task, release, shared_folder
 
 
 # --- split -------------------------------------------------------------------------------------
@@ -21,7 +21,7 @@ def test_split_keeps_time_order(series, fraction):
     split = R.chronological_split(series.repartition(9), fraction)
     train, test = split.train.agg(F.max(S.TIME), F.count("*")).first(), split.test.agg(F.min(S.TIME), F.count("*")).first()
     n = series.count()
-    assert train[0] < test[0] == split.cut
+    assert train[0] < test[0] == split.cut and split.cut_ord is None
     assert train[1] == int(n * (1 - fraction)) == split.train_rows and train[1] + test[1] == n == split.rows
 
 
@@ -46,15 +46,38 @@ def test_split_inside_one_second(spark):
     assert (split.train.count(), split.test.count()) == (400, 100)
 
 
-def test_rows_at_the_cut_time_stay_together(spark):
-    df = spark.range(1000).select(
+def crowded(spark):
+    """A thousand rows, the last three hundred of one time."""
+    return spark.range(1000).select(
         (F.lit("2020-01-01 00:00:00").cast("timestamp_ntz")
-         + F.make_dt_interval(hours=F.least("id", F.lit(700)).cast("int"))).alias(S.TIME)
+         + F.make_dt_interval(hours=F.least("id", F.lit(700)).cast("int"))).alias(S.TIME), "id",
     )
-    split = R.chronological_split(df)
+
+
+def test_rows_at_the_cut_time_stay_together_without_an_order(spark):
+    split = R.chronological_split(crowded(spark).drop("id"))
     assert split.train.count() == 700 == split.train_rows and split.test.count() == 300
 
 
+@pytest.mark.parametrize("order", ["id * 3 - 5", "struct('f' as file, 0L as block, id * 7000000000 as line)", "struct(CAST(id % 2 AS STRING) as file, id as line)"])
+def test_the_cut_is_exact_among_rows_of_one_time(spark, order):
+    df = crowded(spark).withColumn(S.ROW_ORD, F.expr(order))
+    split = R.chronological_split(df.repartition(7))
+    assert split.train.count() == 800 == split.train_rows and split.test.count() == 200
+    last = split.train.agg(F.max(F.struct(S.TIME, S.ROW_ORD))).first()[0]
+    first = split.test.agg(F.min(F.struct(S.TIME, S.ROW_ORD))).first()[0]
+    assert last < first
+    labels = {r["part"]: r["count"] for r in R.label_split(df, split).groupBy("part").count().collect()}
+    assert labels == {"train": 800, "test": 200}
+
+
+def test_one_time_cannot_be_split(spark):
+    df = crowded(spark).withColumn(S.TIME, F.lit("2020-01-01").cast("timestamp_ntz")).withColumn(S.ROW_ORD, F.col("id"))
+    for table in (df, df.drop(S.ROW_ORD)):
+        with pytest.raises(ValueError, match="one time"):
+            R.chronological_split(table)
+
+
 # --- preparation -------------------------------------------------------------------------------
 
 
@@ -195,7 +218,15 @@ def test_importances(fitted):
 
 def test_fingerprint_tells_equal_lengths_apart(series):
     other = series.withColumn(S.TARGET, F.when(F.col(S.ROW_ORD) == 5, 1.0).otherwise(F.col(S.TARGET)))
-    assert training.fingerprint(series) == training.fingerprint(series.repartition(3)) != training.fingerprint(other)
+    cooler = series.withColumn("temp_c", F.when(F.col(S.ROW_ORD) != 5, F.col("temp_c")))
+    twice = series.union(series.where(f"{S.ROW_ORD} in (3, 4)"))
+    marks = [training.fingerprint(df) for df in (series, other, cooler, twice, twice.union(series.where(f"{S.ROW_ORD} = 3")))]
+    assert len(set(marks)) == 5 and training.fingerprint(series.repartition(3)) == marks[0]
+
+
+def test_a_stored_model_knows_its_rows(spark, fitted, series):
+    _, metadata = training.load_model(spark, fitted[1])
+    assert training.is_current(metadata, series) and not training.is_current(metadata, series.where("hour > 0"))
 
 
 def test_views(fitted):
@@ -210,10 +241,8 @@ def test_views(fitted):
     assert sample["axis_max"].iloc[0] == max(sample["actual"].max(), sample["predicted"].max())
 
 
-def test_forest_depth_is_limited_only_when_the_model_outgrows_the_driver():
-    assert R.forest_depth(50_000, 100, 3) == 30
-    deep = R.forest_depth(10**12, 100, 3)
-    assert 2 ** (deep + 1) * 100 <= R.NODE_BUDGET
+def test_the_forest_has_one_depth_for_all_sizes():
+    assert R.random_forest().getMaxDepth() == R.MAX_DEPTH and R.random_forest(max_depth=30).getMaxDepth() == 30
 
 
 def test_training_needs_its_columns(series):
@@ -221,10 +250,6 @@ def test_training_needs_its_columns(series):
         training.train_and_evaluate(series.drop("clouds_all"))
 
 
-def test_feature_availability(spark):
-    assert R.feature_availability(spark).count() == 5
-
-
 # --- segmentation ------------------------------------------------------------------------------
 
 
@@ -315,6 +340,18 @@ def test_lineage_is_cut_into_the_named_folder(spark, series):
     table = cut_lineage(series.select(S.ROW_ORD, S.TARGET))
     assert table.count() == series.count()
     assert all(shared_folder(spark).replace("file:", "") in f for f in table.inputFiles())
+    release(table)
+    with pytest.raises(Exception, match="(?i)not.*exist"):
+        table.count()
+
+
+def test_checkpoints_go_to_the_shared_folder(spark):
+    assert spark.sparkContext.getCheckpointDir() and shared_folder(spark)
+
+
+def test_the_silhouette_waits_until_asked(segments):
+    assert "silhouette" not in K.run_kmeans.__code__.co_names
+    assert segments.rows.inputFiles()  # labels are stored, not recomputed
 
 
 @pytest.mark.parametrize("memory, megabytes", [("1g", 128), ("16g", 2048), ("2048m", 256), ("2147483648", 256)])
@@ -330,5 +367,5 @@ def test_memory_per_task(spark, memory, megabytes):
         sparkContext = Context
 
     assert memory_per_task(Session) == megabytes
-    assert R.random_forest(1000, task_memory=128).getMaxMemoryInMB() == 16
-    assert R.random_forest(1000).getMaxMemoryInMB() == 256
+    assert R.random_forest(task_memory=128).getMaxMemoryInMB() == 32
+    assert R.random_forest().getMaxMemoryInMB() == 512

@@ -78,17 +78,35 @@ def test_nulls_and_empty(spark, distributed):
     assert Q.exact_quantiles(frame(spark, [1.0]).limit(0), "v", [0.5], ["g"], distributed=distributed).count() == 0
 
 
-def test_input_size_decides(spark, monkeypatch):
+def test_percentile_only_when_asked_for(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
 
     def uses_builtin(frame):
         return "percentile(" in frame._jdf.queryExecution().optimizedPlan().toString().replace("percentile_approx(", "")
 
-    assert Q.is_small(df) and uses_builtin(Q.exact_quantiles(df, "l_quantity", [0.5]))
-    monkeypatch.setattr(Q, "SMALL_INPUT_BYTES", 1000)
-    assert not Q.is_small(df) and not uses_builtin(Q.exact_quantiles(df, "l_quantity", [0.5]))
-    monkeypatch.setattr(Q, "input_bytes", lambda _: None)
-    assert not Q.is_small(df)
+    assert not uses_builtin(Q.exact_quantiles(df, "l_quantity", [0.5]))
+    assert uses_builtin(Q.exact_quantiles(df, "l_quantity", [0.5], distributed=False))
+
+
+def test_rows_are_not_shuffled_for_few_groups(spark):
+    """Keys without a calendar bound: the group table is measured and sent, the rows stay."""
+    from tidewatch.operators import anomalies
+
+    df = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").withColumn("traffic_volume", F.col("l_extendedprice"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        flagged = anomalies.flag_anomalies(df, ["l_returnflag", "l_linestatus"])
+        flagged.write.format("noop").mode("overwrite").save()
+        plan = flagged._jdf.queryExecution().executedPlan().toString()
+        quantiles = Q.exact_quantiles(df, "l_extendedprice", [0.5], ["l_returnflag"])
+        quantiles.collect()
+        other = quantiles._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    for text in (plan, other):
+        assert "BroadcastHashJoin" in text
+        assert not any(word in text for word in ("SortMergeJoin", "ShuffledHashJoin", "CartesianProduct"))
 
 
 def test_distributed_plan_reads_twice(spark):

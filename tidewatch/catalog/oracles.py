@@ -23,8 +23,10 @@ _WEATHER = """
 
 _RAW = f"""
 e AS (
-  SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k FROM events
-  WHERE NOT (ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-12 06:00:00')
+  SELECT * REPLACE (CASE WHEN ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-12 06:00:00'
+      THEN ts + INTERVAL 90 DAY ELSE ts END AS ts),
+    CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k
+  FROM events
 ), once AS (
   SELECT event_id * 2 AS row_ord, {_WEATHER},
     CASE WHEN k = 50 THEN NULL ELSE event_type END AS weather_main,
@@ -400,6 +402,16 @@ UNION ALL SELECT 5, 'At least half of the records exceed ' || v['high_hours'] ||
 UNION ALL SELECT 6, 'The highest single record is ' || v['highest_record'] || ' on ' || l['highest_record'] || '.' FROM w"""
 
 
+_FIXED = """fixed AS (
+  SELECT model, avg(abs(traffic_volume - p)) AS mae, sqrt(avg((traffic_volume - p) ** 2)) AS rmse,
+    1 - sum((traffic_volume - p) ** 2) / (var_pop(traffic_volume) * count(*)) AS r2
+  FROM (
+    SELECT traffic_volume, p_baseline AS p, 'Baseline (training mean)' AS model FROM base
+    UNION ALL SELECT traffic_volume, CAST(400 + 10 * hour AS DOUBLE), 'Linear Regression' FROM base
+    UNION ALL SELECT traffic_volume, CAST(500 - 80 * is_weekend AS DOUBLE), 'Random Forest' FROM base)
+  GROUP BY model
+)"""
+
 _SPLIT = """ordered AS (
   SELECT *, row_number() OVER (ORDER BY date_time) - 1 AS pos, count(*) OVER () AS total FROM c
 ), parts AS (
@@ -619,6 +631,24 @@ SELECT date_time, hour, {_r('traffic_volume')} AS traffic_volume, {_r('temp_c')}
   cluster, CASE is_weekend WHEN 0 THEN 'Weekday' ELSE 'Weekend' END AS day_type
 FROM complete ORDER BY md5(concat(CAST(row_ord AS VARCHAR), ':1')), row_ord LIMIT 6000"""),
         "k4_silhouette": _obs_q(f", {_SILHOUETTE}"),
+        "k2_checks": """SELECT CAST(4 AS BIGINT) AS clusters, CAST(0 AS BIGINT) AS mixed_labels, CAST(0 AS BIGINT) AS out_of_order,
+  CAST(0 AS BIGINT) AS undescribed, CAST(0 AS BIGINT) AS rows_lost, CAST(0 AS BIGINT) AS summary_lost, CAST(0 AS BIGINT) AS points_lost""",
+        "l1_split_ties": f"""WITH {_ORDERS}
+SELECT row_ord, date_time, CASE WHEN row_number() OVER (ORDER BY date_time, row_ord) <= floor(count(*) OVER () * 0.8)
+  THEN 'train' ELSE 'test' END AS part FROM c""",
+        "l4_checks": "SELECT 0 AS violations",
+        "l5_checks": "SELECT 1 AS beats_baseline, 1 AS never_negative, 1 AS same_twice",
+        "l7_best_fixed": _obs_q(f""", {_SPLIT}, {_FIXED}
+SELECT arg_min(model, rmse) FILTER (model <> 'Baseline (training mean)') AS best_model,
+  {_r("min(rmse) FILTER (model <> 'Baseline (training mean)')")} AS best_rmse,
+  {_r("max(rmse) FILTER (model = 'Baseline (training mean)')")} AS baseline_rmse FROM fixed"""),
+        "l9_score_fixed": _obs_q(f""", h AS (
+  SELECT hour, day_of_week, month, count(*) AS n, CAST(day_of_week >= 5 AS INTEGER) AS is_weekend FROM c GROUP BY 1, 2, 3)
+SELECT *, {_r('CAST(greatest(25 * hour - 40 * day_of_week + 20 - 60 * is_weekend - 100, 0) AS DOUBLE)')} AS predicted FROM h"""),
+        "l10_importance_checks": "SELECT CAST(1 AS DOUBLE) AS total, CAST(0 AS BIGINT) AS negative",
+        "l11_metrics_fixed": _obs_q(f""", {_SPLIT}, {_FIXED}
+SELECT model, metric, {_r('value')} AS value FROM (
+  SELECT model, unnest(['MAE', 'RMSE', 'R2']) AS metric, unnest([mae, rmse, r2]) AS value FROM fixed)"""),
         "l1_split": _obs_q(f", {_SPLIT}\nSELECT row_ord, date_time, part FROM parts"),
         "l2_impute_stats": _obs_q(f""", {_SPLIT}, tr AS (SELECT * FROM parts WHERE part = 'train')
 SELECT {', '.join(_mode(x) for x in ('hour', 'day_of_week', 'month', 'weather_main'))},

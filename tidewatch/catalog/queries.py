@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,20 +110,21 @@ def _fixed_labels(spark, folder):
     return K.cluster_features(_obs(spark, folder)).withColumn("cluster", label)
 
 
-def _input_state(folder: str) -> tuple:
-    path = f"{folder}/events.parquet"
-    return (path, os.path.getmtime(path)) if os.path.exists(path) else (path, None)
-
-
-_FITS: dict[tuple, object] = {}
+_FITS: dict[str, tuple] = {}
 
 
 def _fit_once(kind: str, spark: SparkSession, folder: str, fit):
-    """Fitted once per session and state of the input; several queries show parts of it."""
-    key = (kind, spark.sparkContext.applicationId, *_input_state(folder))
-    if key not in _FITS:
-        _FITS[key] = fit(_obs(spark, folder))
-    return _FITS[key]
+    """Fitted once per session and content of the input; several queries show parts of it.
+
+    Only the last fit of a kind is held.
+    """
+    obs = _obs(spark, folder)
+    key = (spark.sparkContext.applicationId, training.fingerprint(tables.load(spark, folder, "events")))
+    if _FITS.get(kind, (None,))[0] != key:
+        if kind in _FITS and hasattr(_FITS[kind][1], "scored"):
+            _FITS[kind][1].scored.unpersist()
+        _FITS[kind] = (key, fit(obs))
+    return _FITS[kind][1]
 
 
 def segments(spark: SparkSession, folder: str) -> K.Segmentation:
@@ -152,6 +154,85 @@ def _metrics_of(spark, folder, model):
     return trained(spark, folder).results.where(F.col("model") == model)
 
 
+def _fixed_predictions(spark, folder):
+    """Test rows with predictions that follow from the calendar, in the place of fitted ones."""
+    hour, weekend = F.col("hour").cast("double"), F.col("is_weekend").cast("double")
+    return _baseline(spark, folder).withColumns({
+        R.MODELS[R.LINEAR]: F.lit(400.0) + F.lit(10.0) * hour,
+        R.MODELS[R.FOREST]: F.lit(500.0) - F.lit(80.0) * weekend,
+    })
+
+
+def _score_fixed(spark, folder):
+    """Scoring by a pipeline with given coefficients; one prediction is negative and gets clipped."""
+    statement = "SELECT *, 25 * hour - 40 * day_of_week + 2 * temp_c - 60 * is_weekend - 100 AS p_fixed FROM __THIS__"
+    model = PipelineModel(stages=[SQLTransformer(statement=statement)])
+    hours = _obs(spark, folder).groupBy("hour", "day_of_week", "month").agg(F.count(F.lit(1)).alias("n"))
+    return R.score(model, hours, "p_fixed")
+
+
+def _segment_checks(spark, folder):
+    """What must hold of any clustering; every column is 0 but the number of clusters."""
+    fit = segments(spark, folder)
+    complete = K.cluster_features(_obs(spark, folder)).agg(F.count(F.lit(1)).alias("complete"))
+    names = [f"z_{c}" for c in K.FEATURES]
+    assembled = VectorAssembler(inputCols=names, outputCol="features").transform(K.standardise(fit.rows))
+    pairs = fit.model.transform(assembled).groupBy("cluster", "prediction").agg(
+        F.count(F.lit(1)).alias("rows"), F.avg(S.TARGET).alias("mean"))
+    order = Window.orderBy("cluster")
+    steps = pairs.withColumn("before", F.lag("mean").over(order))  # one row per cluster
+    found = steps.agg(
+        F.count_distinct("cluster").alias("clusters"), (F.count(F.lit(1)) - F.count_distinct("prediction")).alias("mixed_labels"),
+        F.sum("rows").alias("rows"), F.count_if(F.col("before") > F.col("mean")).alias("out_of_order"))
+    sizes = fit.summary.agg(F.sum("observations").alias("in_summary"), F.count_if(F.col("description").isNull()).alias("undescribed"))
+    points = K.cluster_points(fit.rows).agg(F.count(F.lit(1)).alias("points"))
+    row = found.withColumns({
+        "complete": complete.scalar(), "in_summary": sizes.select("in_summary").scalar(),
+        "undescribed": sizes.select("undescribed").scalar(), "points": points.scalar(),
+    })
+    return row.select(
+        "clusters", "mixed_labels", "out_of_order", "undescribed", (F.col("complete") - F.col("rows")).alias("rows_lost"),
+        (F.col("rows") - F.col("in_summary")).alias("summary_lost"), (F.least("rows", F.lit(6000)) - F.col("points")).alias("points_lost"))
+
+
+def _linear_checks(spark, folder):
+    """Residuals of least squares are orthogonal to every feature: features for which they are not."""
+    fit = trained(spark, folder)
+    linear = fit.models[R.LINEAR].transform(fit.split.train)
+    error = F.col(S.TARGET) - F.col(R.MODELS[R.LINEAR])
+    features = [f"{c}_scaled" for c in R.NUMERIC] + R.BINARY
+    scale = F.stddev_pop(S.TARGET)
+    wide = linear.agg(*[(F.abs(F.avg(error * F.col(c))) > F.lit(1e-3) * scale).cast("int").alias(c) for c in features])
+    return wide.select(sum((F.col(c) for c in features[1:]), F.col(features[0])).alias("violations"))
+
+
+def _forest_checks(spark, folder):
+    """On a target that follows the calendar: 1 where the forest does what it must."""
+    hour, weekend = F.col("hour"), F.col("is_weekend")
+    target = F.lit(200.0) + F.abs(hour - 12) * F.lit(90.0) + weekend * F.lit(500.0)
+    obs = _obs(spark, folder).withColumn(S.TARGET, target)
+    one, two = (training.train_and_evaluate(obs, trees=5, max_depth=8) for _ in range(2))
+    errors = one.results.groupBy().pivot("model", list(R.MODELS)).agg(F.first("RMSE"))
+    low = one.scored.agg(F.min(R.MODELS[R.FOREST]).alias("low"))
+    again = two.results.where(F.col("model") == R.FOREST).select("RMSE")
+    return errors.select(
+        (F.col(R.FOREST) < F.lit(0.5) * F.col(R.BASELINE)).cast("int").alias("beats_baseline"),
+        (low.scalar() >= 0).cast("int").alias("never_negative"),
+        (F.abs(F.col(R.FOREST) - again.scalar()) < 1e-9).cast("int").alias("same_twice"))
+
+
+def _importance_checks(spark, folder):
+    """All importances add up to one, none is negative."""
+    every = trained(spark, folder).importance(10**6)
+    return every.agg(
+        round_to(F.sum("importance"), 6).alias("total"), F.count_if(F.col("importance") < 0).alias("negative"))
+
+
+def _split_with_ties(spark, folder):
+    obs = tables.order_observations(spark, folder)
+    return R.label_split(obs, R.chronological_split(obs)).select(S.ROW_ORD, S.TIME, "part")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         # sources
@@ -273,6 +354,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "k5_points_fixed_labels": lambda s, d: shown(K.cluster_points(_fixed_labels(s, d))),
         "k5_cluster_points": lambda s, d: K.cluster_points(segments(s, d).rows),
         # regression
+        "k2_checks": _segment_checks,
+        "l1_split_ties": _split_with_ties,
+        "l4_checks": _linear_checks,
+        "l5_checks": _forest_checks,
+        "l7_best_fixed": lambda s, d: shown(R.best_model(R.metrics(_fixed_predictions(s, d)))),
+        "l9_score_fixed": lambda s, d: shown(_score_fixed(s, d).select("hour", "day_of_week", "month", "n", "is_weekend", "predicted")),
+        "l10_importance_checks": _importance_checks,
+        "l11_metrics_fixed": lambda s, d: shown(R.metrics_long(R.metrics(_fixed_predictions(s, d)))),
         "l1_split": lambda s, d: _rows_by_part(s, d).select(S.ROW_ORD, S.TIME, "part"),
         "l2_impute_stats": lambda s, d: shown(R.impute_values(R.chronological_split(_obs(s, d)).train)),
         "l3_baseline": lambda s, d: shown(_baseline(s, d).select(S.ROW_ORD, S.TARGET, "p_baseline")),

@@ -6,6 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch import schema as S
+from tidewatch.session import cut_lineage
+
+#: Bytes counted for a value: an array's length is not in its type, so the longest in use.
+_ARRAY_BYTES, _TEXT_BYTES, _VALUE_BYTES = 2_048, 128, 16
+
+
+def row_bytes(df: DataFrame) -> int:
+    """An upper estimate of the memory one row takes."""
+    kinds = [f.dataType.typeName() for f in df.schema]
+    return 32 + sum(
+        _ARRAY_BYTES if k in ("array", "map", "struct") else _TEXT_BYTES if k in ("string", "binary") else _VALUE_BYTES
+        for k in kinds
+    )
 
 
 def with_row(df: DataFrame, table: DataFrame) -> DataFrame:
@@ -27,17 +40,21 @@ def by_group(
 ) -> DataFrame:
     """Join per-group columns back to ``df``, keeping the column order of ``df``.
 
-    ``groups`` holds one row per key. It is broadcast only when the number of groups has a
-    bound known in advance: the calendar domain of the keys, or ``bound``, the caller's proof
-    for other keys. Otherwise the join strategy is left to adaptive execution, which broadcasts
-    a group side it has measured as small and else splits the partitions of hot keys. The
-    latter needs an exchange right below both sides, which a null-safe condition brings about:
-    it cannot reuse the partitioning of the aggregate that made ``groups``.
+    ``groups`` holds one row per key. It is broadcast if its size in bytes is within
+    ``S.MAX_BROADCAST_BYTES``: rows bounded by the calendar domain of the keys or by ``bound``,
+    the caller's proof for other keys, times the width of a row. Without such a bound the group
+    table is written first and its rows are counted, so the rows of ``df`` are shuffled only
+    where the groups really are many. That join leaves skewed keys to adaptive execution,
+    which needs an exchange right below both sides; a null-safe condition brings that about,
+    as it cannot reuse the partitioning of the aggregate that made ``groups``.
     """
     limit = bound if bound is not None else S.group_bound(keys)
+    if limit is None or limit * row_bytes(groups) > S.MAX_BROADCAST_BYTES:
+        groups = cut_lineage(groups)
+        limit = groups.count()
     extra = [c for c in groups.columns if c not in keys]
     renamed = groups.select(*[F.col(k).alias(f"__key_{k}") for k in keys], *extra)
-    if limit is not None and limit <= S.MAX_BROADCAST_GROUPS:
+    if limit * row_bytes(groups) <= S.MAX_BROADCAST_BYTES:
         renamed = F.broadcast(renamed)
     elif not null_safe:
         renamed = renamed.dropna(subset=[f"__key_{k}" for k in keys])

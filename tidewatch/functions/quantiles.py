@@ -1,9 +1,9 @@
 """Exact interpolated quantiles that stay exact and bounded at any size.
 
 ``percentile`` keeps one counter per distinct value of a group in a single task. That is
-right for inputs whose size is known to be small and unusable for a group holding a third
-of 100 TB. Beyond ``SMALL_INPUT_BYTES`` (the optimizer's own size estimate of the pruned
-input; unknown counts as large) the same numbers are computed in bounded steps:
+right for columns known to have few values and unusable for a group holding a third
+of 100 TB. Here the same numbers are computed in bounded steps, whatever the size of the input
+(``distributed=False`` asks for ``percentile`` where few distinct values are known):
 
 1. a mergeable sketch per group brackets each wanted rank within 4/5,000 of the rows;
 2. one pass counts rows, collapsing everything outside the brackets to a counter per stretch
@@ -24,44 +24,34 @@ from pyspark.sql import functions as F
 
 from tidewatch import schema as S
 from tidewatch.functions.attach import by_group, with_row
-
-SMALL_INPUT_BYTES = 16 * 1024 * 1024
+from tidewatch.session import cut_lineage
 
 _ACCURACY = 5_000
 _MARGIN = 4.0 / _ACCURACY  # sketch error is 1/accuracy; the rest covers interpolation ranks
 _SMALL_GROUP = 4 * _ACCURACY  # below this a group is its own bracket
-_SLICES = 128
-
-
-def input_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size estimate for ``df``, or None where the session does not offer it."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    except (AttributeError, TypeError, NotImplementedError):
-        return None
+_SLICES = 128  # at least; more where the session has more shuffle partitions
 
 
-def is_small(df: DataFrame) -> bool:
-    size = input_bytes(df)
-    return size is not None and size <= SMALL_INPUT_BYTES
+def _slices(rows: DataFrame) -> int:
+    """Slices of a bracket: one per shuffle partition, so each task sorts its share. The number
+    divides work and memory; it does not touch the result."""
+    return max(_SLICES, min(4_096, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def exact_quantiles(
     df: DataFrame, value: str, probs, keys=(), *, bound: int | None = None,
-    distributed: bool | None = None,
+    distributed: bool = True,
 ) -> DataFrame:
     """One row per group: ``keys``, ``n`` (non-null values) and ``q`` (array, one per prob).
 
     Linear interpolation between the two nearest order statistics at rank ``p * (n - 1)``.
     ``bound`` is the caller's proof of the number of groups for keys that are not calendar
-    columns. ``distributed`` forces one of the two ways; the default decides by input size.
+    columns; without one the group table is written and counted.
     """
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull()).select(
         *keys, F.col(value).cast("double").alias("__v")
     )
-    if distributed is None:
-        distributed = not is_small(rows)
     if not distributed:
         ps = F.array(*[F.lit(float(p)) for p in probs])
         return rows.groupBy(*keys).agg(
@@ -72,12 +62,10 @@ def exact_quantiles(
 
 def grouped_summary(
     df: DataFrame, keys, value: str, quantiles: dict[str, float], aggregates: list[Column],
-    *, bound: int | None = None, distributed: bool | None = None,
+    *, bound: int | None = None, distributed: bool = True,
 ) -> DataFrame:
     """``aggregates`` and named exact quantiles of ``value`` per group (no keys: one row)."""
     keys = list(keys)
-    if distributed is None:
-        distributed = not is_small(df.select(*keys, value))
     if not distributed:
         exact = [
             F.percentile(F.col(value).cast("double"), F.lit(p)).alias(name)
@@ -112,6 +100,9 @@ def _ranked_quantiles(rows: DataFrame, probs: list[float], keys: list[str], boun
             for i in range(len(brackets))
         ],
     )
+    if keys and bound is None and S.group_bound(keys) is None:
+        sketch = cut_lineage(sketch)
+        bound = sketch.count()
     if keys:
         marked = by_group(rows, sketch, keys, null_safe=True, how="inner", bound=bound)
     else:
@@ -131,10 +122,11 @@ def _ranked_quantiles(rows: DataFrame, probs: list[float], keys: list[str], boun
     # Ranks: offset of the slice plus the running count inside it. Rows outside the brackets
     # (null value) form one slice per stretch and come before the stretch's bracketed values.
     group = [*keys, "__g"]
+    cuts = _slices(rows)
     # The counts are read three times below. Keeping the count column in use on every branch
     # keeps the branches alike, so Spark runs the exchange behind them once.
     marks = counted.groupBy(*group).agg(
-        F.percentile_approx("__v", [i / _SLICES for i in range(1, _SLICES)], 1_000).alias("__m"),
+        F.percentile_approx("__v", [i / cuts for i in range(1, cuts)], 8 * cuts).alias("__m"),
         F.sum("__k").alias("__rows"),
     ).where("__rows > 0").drop("__rows")
     known = bound if bound is not None else S.group_bound(keys)
@@ -152,7 +144,7 @@ def _ranked_quantiles(rows: DataFrame, probs: list[float], keys: list[str], boun
         sliced.groupBy(*slice_keys).agg(F.sum("__k").alias("__k"))
         .select(*slice_keys, F.coalesce(F.sum("__k").over(running), F.lit(0)).alias("__o"))
     )
-    slices = None if stretches is None else stretches * (_SLICES + 1)
+    slices = None if stretches is None else stretches * (cuts + 1)
     before = Window.partitionBy(*slice_keys).orderBy("__v").rowsBetween(
         Window.unboundedPreceding, -1
     )

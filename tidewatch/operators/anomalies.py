@@ -18,7 +18,7 @@ TABLE_COLUMNS = [
 
 def iqr_limits(
     df: DataFrame, keys=tuple(S.ANOMALY_GROUP), multiplier: float = S.IQR_MULTIPLIER,
-    target: str = S.TARGET, *, bound: int | None = None, distributed=None,
+    target: str = S.TARGET, *, bound: int | None = None, distributed=True,
 ) -> DataFrame:
     """Lower and upper limit per group, from exact quartiles."""
     found = exact_quantiles(
@@ -34,7 +34,7 @@ def iqr_limits(
 
 def flag_anomalies(
     df: DataFrame, keys=tuple(S.ANOMALY_GROUP), multiplier: float = S.IQR_MULTIPLIER,
-    target: str = S.TARGET, *, bound: int | None = None, distributed=None,
+    target: str = S.TARGET, *, bound: int | None = None, distributed=True,
 ) -> DataFrame:
     """Every row with the limits of its group and its class: High, Low or Normal.
 

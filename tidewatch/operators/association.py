@@ -50,7 +50,7 @@ def bin_probabilities(bins: int) -> list[float]:
 
 def quantile_trend(
     df: DataFrame, x: str, target: str = S.TARGET, max_bins: int = 12, min_distinct: int = 10,
-    *, distributed=None,
+    *, distributed=True,
 ) -> DataFrame:
     """Mean x and mean target in up to ``max_bins`` equal-frequency bins of x.
 

@@ -11,7 +11,7 @@ from tidewatch.functions.quantiles import grouped_summary
 from tidewatch.functions.statistics import adjusted_skewness
 
 
-def distribution_facts(df: DataFrame, target: str = S.TARGET, *, distributed=None) -> DataFrame:
+def distribution_facts(df: DataFrame, target: str = S.TARGET, *, distributed=True) -> DataFrame:
     """Mean, exact median and first quartile, sample deviation, adjusted skewness, and the
     share of values strictly below the first quartile."""
     found = grouped_summary(

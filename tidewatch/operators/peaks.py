@@ -11,7 +11,7 @@ from tidewatch.operators.profiles import day_type_profile, high_traffic_periods,
 TOP_COLUMNS = [S.TIME, "day_name", "hour", S.TARGET, "weather_main", "holiday"]
 
 
-def top_hours(df: DataFrame, n: int = 5, *, distributed=None) -> DataFrame:
+def top_hours(df: DataFrame, n: int = 5, *, distributed=True) -> DataFrame:
     """The ``n`` hours of day with the highest mean as shown (rounded); lowest hour on ties."""
     window = F.format_string("%02d:00 - %02d:59", "hour", "hour")
     return (
@@ -57,7 +57,7 @@ def hour_ranges(hours: DataFrame, extra: Column | None = None, hour: str = "hour
     return out if extra is None else out.withColumn("extra", extra)
 
 
-def high_hour_ranges(df: DataFrame, quantile: float = 0.75, *, distributed=None) -> DataFrame:
+def high_hour_ranges(df: DataFrame, quantile: float = 0.75, *, distributed=True) -> DataFrame:
     """The consistently high hours as range text."""
     periods = high_traffic_periods(df, quantile, distributed=distributed)
     return hour_ranges(periods.where("consistently_high"))

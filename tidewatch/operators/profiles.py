@@ -23,7 +23,7 @@ def first_min(value: str, key: str):
     return F.min_by(key, F.struct(value, key))
 
 
-def hourly_profile(df: DataFrame, target: str = S.TARGET, *, distributed=None) -> DataFrame:
+def hourly_profile(df: DataFrame, target: str = S.TARGET, *, distributed=True) -> DataFrame:
     """Per hour of day: mean (one decimal), exact median, number of observations."""
     out = grouped_summary(
         df, ["hour"], target, {"median": 0.5},
@@ -53,7 +53,7 @@ def day_type_profile(df: DataFrame, target: str = S.TARGET) -> DataFrame:
 
 
 def high_traffic_threshold(
-    df: DataFrame, quantile: float = 0.75, target: str = S.TARGET, *, distributed=None
+    df: DataFrame, quantile: float = 0.75, target: str = S.TARGET, *, distributed=True
 ) -> DataFrame:
     """The quantile of all volumes that counts as high, as a one-row table."""
     found = exact_quantiles(df, target, [quantile], distributed=distributed)
@@ -61,7 +61,7 @@ def high_traffic_threshold(
 
 
 def high_traffic_periods(
-    df: DataFrame, quantile: float = 0.75, target: str = S.TARGET, *, distributed=None
+    df: DataFrame, quantile: float = 0.75, target: str = S.TARGET, *, distributed=True
 ) -> DataFrame:
     """Per hour: mean, share of records strictly above the threshold, and whether the shown
     (rounded) share reaches half. The threshold is carried along as a column."""

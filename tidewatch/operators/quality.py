@@ -29,12 +29,27 @@ def missing_counts(df: DataFrame, columns=None) -> DataFrame:
 
 
 def describe_columns(df: DataFrame, columns=None) -> DataFrame:
-    """One row per column: position, name, type, rows of the table, missing values."""
+    """One row per column: position, name, type, rows of the table, missing values.
+
+    A text column whose values all are whole numbers, or all numbers, is shown as such: it is
+    what a reader that guesses types would make of it.
+    """
     columns = list(columns or df.columns)
     types = {f.name: f.dataType.simpleString() for f in df.schema}
+    texts = [c for c in columns if types[c] == "string"]
+
+    def shown_type(c: str):
+        if c not in texts:
+            return F.lit(types[c])
+        values = F.col("__rows") - F.col(c)
+        return (
+            F.when((values > 0) & (F.col(f"__whole_{c}") == values), "bigint")
+            .when((values > 0) & (F.col(f"__number_{c}") == values), "double").otherwise("string")
+        )
+
     entries = [
         F.struct(
-            F.lit(i).alias("position"), F.lit(c).alias("column"), F.lit(types[c]).alias("data_type"),
+            F.lit(i).alias("position"), F.lit(c).alias("column"), shown_type(c).alias("data_type"),
             F.col("__rows").alias("rows"), F.col(c).alias("missing"),
         )
         for i, c in enumerate(columns, 1)
@@ -42,6 +57,8 @@ def describe_columns(df: DataFrame, columns=None) -> DataFrame:
     wide = df.agg(
         F.count(F.lit(1)).alias("__rows"),
         *[F.count_if(F.col(c).isNull()).alias(c) for c in columns],
+        *[F.count_if(F.col(c).rlike("^ *[+-]?[0-9]+ *$")).alias(f"__whole_{c}") for c in texts],
+        *[F.count_if(F.col(c).try_cast("double").isNotNull()).alias(f"__number_{c}") for c in texts],
     )
     return wide.select(F.inline(F.array(*entries)))
 
@@ -53,7 +70,7 @@ def remaining_missing(clean: DataFrame, columns=None) -> DataFrame:
 
 def outlier_summary(
     df: DataFrame, columns=tuple(S.OUTLIER_COLUMNS), multiplier: float = S.IQR_MULTIPLIER,
-    *, distributed: bool | None = None,
+    *, distributed: bool = True,
 ) -> DataFrame:
     """Per numeric column: range, interquartile fences, values strictly outside and their share.
 

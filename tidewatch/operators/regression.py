@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -12,8 +11,9 @@ from pyspark.ml.feature import (
 from pyspark.ml.regression import (
     LinearRegression, RandomForestRegressionModel, RandomForestRegressor,
 )
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch import schema as S
 from tidewatch.functions.attach import with_row
@@ -21,6 +21,7 @@ from tidewatch.functions.quantiles import exact_quantiles
 from tidewatch.functions.sampling import bounded_sample
 from tidewatch.functions.scalars import ntz, round_to
 
+# The inputs of the models.
 CATEGORICAL = ["hour", "day_of_week", "month", "weather_main"]
 NUMERIC = ["temp_c", "rain_1h", "snow_1h", "clouds_all"]
 BINARY = ["is_weekend", "is_holiday"]
@@ -29,22 +30,6 @@ FEATURES = CATEGORICAL + NUMERIC + BINARY
 BASELINE, LINEAR, FOREST = "Baseline (training mean)", "Linear Regression", "Random Forest"
 MODELS = {BASELINE: "p_baseline", LINEAR: "p_linear", FOREST: "p_forest"}
 
-# Which inputs exist before the hour to predict.
-FEATURE_AVAILABILITY = [
-    ("hour, day_of_week, month, is_weekend", "calendar", "known in advance", True),
-    ("is_holiday", "calendar", "known in advance", True),
-    ("temp_c, rain_1h, snow_1h, clouds_all, weather_main", "weather", "needs a forecast", True),
-    ("earlier volumes", "history", "needs live counts", False),
-    ("year", "calendar", "future years are unseen", False),
-]
-
-
-def feature_availability(spark) -> DataFrame:
-    return spark.createDataFrame(
-        FEATURE_AVAILABILITY, "features string, kind string, availability string, used boolean"
-    )
-
-
 # --- split -----------------------------------------------------------------------------------
 
 
@@ -53,12 +38,13 @@ class Split:
     train: DataFrame
     test: DataFrame
     cut: object  # first timestamp of the test part
+    cut_ord: object  # its first row, where several rows share that timestamp; else None
     rows: int
     train_rows: int
 
 
 def _bucket_at(df: DataFrame, bucket: Column, rank) -> dict | None:
-    """The bucket that holds 0-based ``rank`` of the time order, and the rows before it.
+    """The bucket that holds 0-based ``rank`` of the order, and the rows before it.
 
     Counts per bucket come from a map-side combined aggregate; the running total runs over
     the buckets only. ``rank`` may be a number or a function of the total.
@@ -74,20 +60,53 @@ def _bucket_at(df: DataFrame, bucket: Column, rank) -> dict | None:
     return row.asDict() if row else None
 
 
+def _order_steps(df: DataFrame) -> list[Column]:
+    """``row_ord`` as a sequence of buckets, coarse to fine, each of a bounded number."""
+    kind = df.schema[S.ROW_ORD].dataType
+    parts = [F.col(f"{S.ROW_ORD}.{f.name}") for f in kind] if isinstance(kind, T.StructType) else [F.col(S.ROW_ORD)]
+    kinds = [f.dataType for f in kind] if isinstance(kind, T.StructType) else [kind]
+    steps = []
+    for part, of in zip(parts, kinds):
+        whole = isinstance(of, T.IntegralType)
+        steps += [F.shiftright(part.cast("long"), bits) for bits in (40, 20)] * whole + [part]
+    return steps
+
+
+def _row_at(df: DataFrame, rank: int):
+    """``row_ord`` of the row at 0-based ``rank`` of its order; equal ones are one row here."""
+    for step in _order_steps(df):
+        found = _bucket_at(df, step, rank)
+        df, rank = df.where(step == F.lit(found["bucket"])), rank - found["before"]
+    return df.select(F.min(S.ROW_ORD)).first()[0], rank
+
+
+def _literal(value) -> Column:
+    return F.struct(*[F.lit(v).alias(k) for k, v in value.asDict().items()]) if isinstance(value, Row) else F.lit(value)
+
+
+def _is_train(cut, cut_ord, time: str) -> Column:
+    before = F.col(time) < ntz(cut)
+    if cut_ord is None:
+        return before
+    return before | ((F.col(time) == ntz(cut)) & (F.col(S.ROW_ORD) < _literal(cut_ord)))
+
+
 def chronological_split(df: DataFrame, test_fraction: float = 0.2, time: str = S.TIME) -> Split:
     """The last ``test_fraction`` of the rows in time order as test, everything before as train.
 
-    The cut timestamp is found by narrowing (day, second, timestamp), each step an aggregate
-    over bounded buckets that reads only the chosen bucket; rows are never sorted. Both parts
-    are then plain filters with a literal, which Parquet scans can use. Timestamps are unique
-    in a clean table; should several rows share the cut timestamp, all of them are test rows.
+    The first ``floor(n * (1 - test_fraction))`` rows by (time, ``row_ord``) are the train part.
+    The cut is found by narrowing (day, second, timestamp, then ``row_ord`` where rows share
+    that timestamp), each step an aggregate over bounded buckets that reads only the chosen
+    bucket; rows are never sorted. Both parts are then plain filters with literals, which
+    Parquet scans can use. Without ``row_ord`` all rows of the cut timestamp are test rows.
     """
     if not 0.05 <= test_fraction <= 0.5:
         raise ValueError("test_fraction must lie between 0.05 and 0.5")
     ts = F.col(time)
-    times = df.select(time)
+    ordered = S.ROW_ORD in df.columns
+    times = df.select(time, *[S.ROW_ORD] * ordered)
     day = _bucket_at(times, ts.cast("date"), lambda n: F.floor(n * F.lit(1 - test_fraction)))
-    if day is None or day["rank"] < 100 or day["total"] - day["rank"] < 20:
+    if day is None:
         raise ValueError("Too few rows to train and test a model.")
     cut_rank, total = day["rank"], day["total"]
     start = F.lit(day["bucket"]).cast("timestamp_ntz")
@@ -97,17 +116,26 @@ def chronological_split(df: DataFrame, test_fraction: float = 0.2, time: str = S
     begin = start + F.make_dt_interval(secs=F.lit(second["bucket"]))
     in_second = in_day.where((ts >= begin) & (ts < begin + F.expr("INTERVAL 1 SECOND")))
     exact = _bucket_at(in_second, ts, cut_rank - day["before"] - second["before"])
-    cut = ntz(exact["bucket"])
+    cut, cut_ord = exact["bucket"], None
+    train_rows = day["before"] + second["before"] + exact["before"]
+    inside = cut_rank - train_rows  # train rows that share the cut timestamp
+    if exact["n"] == total:
+        raise ValueError("All rows have one time: there is no earlier part to train on.")
+    if ordered and inside:
+        cut_ord, left = _row_at(in_second.where(ts == ntz(cut)), inside)
+        train_rows = cut_rank - left
+    if train_rows < 100 or total - train_rows < 20:
+        raise ValueError("Too few rows to train and test a model.")
+    train = _is_train(cut, cut_ord, time)
     return Split(
-        train=df.where(ts < cut), test=df.where(ts >= cut), cut=exact["bucket"],
-        rows=total, train_rows=day["before"] + second["before"] + exact["before"],
+        train=df.where(train), test=df.where(~train), cut=cut, cut_ord=cut_ord, rows=total, train_rows=train_rows,
     )
 
 
 def label_split(df: DataFrame, split: Split, time: str = S.TIME) -> DataFrame:
     """All rows with the part they belong to."""
-    cut = ntz(split.cut)
-    return df.withColumn("part", F.when(F.col(time) < cut, "train").otherwise("test"))
+    part = F.when(_is_train(split.cut, split.cut_ord, time), "train").otherwise("test")
+    return df.withColumn("part", part)
 
 
 def split_facts(labelled: DataFrame, time: str = S.TIME) -> DataFrame:
@@ -120,7 +148,7 @@ def split_facts(labelled: DataFrame, time: str = S.TIME) -> DataFrame:
 # --- preparation -----------------------------------------------------------------------------
 
 
-def impute_values(train: DataFrame, *, distributed=None) -> DataFrame:
+def impute_values(train: DataFrame, *, distributed=True) -> DataFrame:
     """One row: most frequent value per categorical column (smallest on ties), exact median
     per numeric column. Learned from the rows given, so pass the training part only."""
     modes = train.agg(*[F.mode(c, True).alias(c) for c in CATEGORICAL])
@@ -191,15 +219,9 @@ def feature_names(preparation: PipelineModel) -> list[str]:
 
 # --- models ----------------------------------------------------------------------------------
 
-NODE_BUDGET = 2**25  # nodes of a whole forest the driver can hold
-
-
-def forest_depth(rows: int, trees: int, leaf: int) -> int:
-    """Tree depth limit. Spark's own limit of 30 stands for "unlimited"; it is lowered only
-    where fully grown trees would outgrow the driver, since a model's nodes live there."""
-    if 2 * rows / leaf * trees <= NODE_BUDGET:
-        return 30
-    return max(5, int(math.log2(NODE_BUDGET / trees)) - 1)
+#: Depth limit of the forest's trees, the same for every size of input. Spark allows up to 30;
+#: with 100 trees a depth of 12 means at most 800,000 nodes, which live on the driver.
+MAX_DEPTH = 12
 
 
 def linear_regression(prediction: str = MODELS[LINEAR]) -> LinearRegression:
@@ -209,17 +231,18 @@ def linear_regression(prediction: str = MODELS[LINEAR]) -> LinearRegression:
 
 
 def random_forest(
-    rows: int, trees: int = 100, leaf: int = 3, seed: int = 42, prediction: str = MODELS[FOREST],
-    task_memory: int = 2048,
+    trees: int = 100, leaf: int = 3, seed: int = 42, prediction: str = MODELS[FOREST],
+    task_memory: int = 2048, max_depth: int = MAX_DEPTH,
 ) -> RandomForestRegressor:
-    """``task_memory`` (MB) bounds the node statistics a task builds at a time: an eighth of it,
-    at most Spark's default. Less memory means more passes, not another result."""
+    """``task_memory`` (MB) bounds the node statistics a task builds at a time, a quarter of it.
+    Less memory means more passes, not another result. The driver holds up to
+    ``trees * 2 ** (max_depth + 1)`` nodes; it is the caller who sets both."""
     return RandomForestRegressor(
         featuresCol="features", labelCol=S.TARGET, predictionCol=prediction, numTrees=trees,
-        minInstancesPerNode=leaf, maxDepth=forest_depth(rows, trees, leaf),
+        minInstancesPerNode=leaf, maxDepth=max_depth,
         featureSubsetStrategy="all", seed=seed,
         # Deep trees: keep each row's node instead of shipping the growing forest every level.
-        cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=max(8, min(256, task_memory // 8)),
+        cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=max(8, min(2048, task_memory // 4)),
     )
 
 

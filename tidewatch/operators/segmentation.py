@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ from tidewatch import schema as S
 from tidewatch.functions.attach import with_row
 from tidewatch.functions.sampling import bounded_sample
 from tidewatch.functions.scalars import cyclic_hour, day_type, hour_label, round_to
-from tidewatch.session import cut_lineage, spread
+from tidewatch.session import FIT_PARTITIONS, cut_lineage, release, spread
 
 BASE_COLUMNS = [S.TARGET, "hour", "is_weekend", "temp_c", "clouds_all"]
 FEATURES = [S.TARGET, "hour_sin", "hour_cos", "is_weekend", "temp_c", "clouds_all"]
@@ -28,11 +29,20 @@ MAX_SILHOUETTE_SAMPLE = 20_000
 
 @dataclass
 class Segmentation:
-    rows: DataFrame  # input rows with their cluster
-    summary: DataFrame  # one row per cluster
-    silhouette: DataFrame  # one row
+    rows: DataFrame  # input rows with their cluster, a stored table
     model: KMeansModel
     cost: float
+    seed: int = 42
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        """One row per cluster."""
+        return describe(self.rows)
+
+    @cached_property
+    def silhouette(self) -> DataFrame:
+        """One row; computed only when asked for."""
+        return silhouette(self.rows, seed=self.seed)
 
 
 def cluster_features(df: DataFrame) -> DataFrame:
@@ -59,14 +69,15 @@ def standardise(df: DataFrame, columns=tuple(FEATURES)) -> DataFrame:
 
 def run_kmeans(
     df: DataFrame, k: int = 4, seed: int = 42, restarts: int = 10, *, parallelism: int = 4,
-    stored: bool = False,
+    stored: bool = False, partitions: int = FIT_PARTITIONS,
 ) -> Segmentation:
     """Cluster standardised features; the cheapest of ``restarts`` fits is kept.
 
     Clusters are numbered by mean volume, lowest first, so the ids do not depend on which
     restart won. The rows are written to a table first, because every iteration of every fit
     reads them; say ``stored`` when ``df`` is read straight from a table already. Select the
-    columns worth keeping beforehand.
+    columns worth keeping beforehand. ``partitions`` of the rows are part of what defines the
+    starting centres.
     """
     rows = df.dropna(subset=BASE_COLUMNS)
     rows = cluster_features(rows if stored else cut_lineage(rows))
@@ -75,7 +86,7 @@ def run_kmeans(
     scaled = VectorAssembler(
         inputCols=[f"z_{c}" for c in FEATURES], outputCol="features"
     ).transform(standardise(rows)).drop(*[f"z_{c}" for c in FEATURES])
-    features = spread(scaled.select(S.TIME, "features"), S.TIME).select("features").persist()
+    features = spread(scaled.select(S.TIME, "features"), S.TIME, partitions).select("features").persist()
 
     def fit(restart: int) -> KMeansModel:
         return KMeans(k=k, seed=seed + restart, maxIter=300, tol=1e-4).fit(features)
@@ -92,14 +103,10 @@ def run_kmeans(
         "__raw", (F.row_number().over(order) - 1).alias("cluster")
     )
     labelled = raw.join(F.broadcast(ranks), "__raw").drop("__raw")  # k rows
-    clustered = labelled.drop("features")
-    return Segmentation(
-        rows=clustered,
-        summary=describe(clustered),
-        silhouette=silhouette(clustered, seed=seed),
-        model=model,
-        cost=cost,
-    )
+    clustered = cut_lineage(labelled.drop("features"))
+    if not stored:
+        release(rows)
+    return Segmentation(rows=clustered, model=model, cost=cost, seed=seed)
 
 
 def cluster_summary(clustered: DataFrame) -> DataFrame:

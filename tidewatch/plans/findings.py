@@ -19,7 +19,7 @@ FACTS = [
 ]
 
 
-def facts(df: DataFrame, target: str = S.TARGET, *, distributed=None) -> DataFrame:
+def facts(df: DataFrame, target: str = S.TARGET, *, distributed=True) -> DataFrame:
     """Ordered facts (``ord``, ``fact``, ``label``, ``value``).
 
     All means come from one pass: sums and counts per weekday and hour (168 rows) that are

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import schema as S
 from tidewatch.operators import regression as R
-from tidewatch.session import cut_lineage, memory_per_task, spread
+from tidewatch.session import FIT_PARTITIONS, cut_lineage, memory_per_task, shared_folder, spread
 
 
 @dataclass
@@ -30,32 +30,38 @@ class Training:
         return R.feature_importance(self.scored.sparkSession, forest, self.names, n)
 
 
-def fingerprint(df: DataFrame) -> int:
-    """Order-independent hash of times and targets: tells tables of equal length apart."""
-    return df.agg(F.bit_xor(F.xxhash64(S.TIME, S.TARGET))).first()[0]
+def fingerprint(df: DataFrame) -> str:
+    """Order-independent fingerprint of all columns: number of rows and sum of row hashes."""
+    hashes = F.sum(F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in sorted(df.columns)]).cast("decimal(38,0)"))
+    row = df.agg(F.count(F.lit(1)).alias("n"), hashes.alias("h")).first()
+    return f"{row['n']}-{row['h'] or 0}"
 
 
 def train_and_evaluate(
     df: DataFrame, test_fraction: float = 0.2, save_to: str | None = None, *, trees: int = 100,
-    seed: int = 42, stored: bool = False,
+    seed: int = 42, stored: bool = False, max_depth: int = R.MAX_DEPTH, partitions: int = FIT_PARTITIONS,
 ) -> Training:
     """Fit the baseline, the linear model and the forest on the earlier rows and evaluate them
     on the later ones. The real model with the lowest RMSE is the best.
 
     The columns in use are written to a table first, because each fit reads them many times;
-    say ``stored`` when ``df`` is read straight from a table already.
+    say ``stored`` when ``df`` is read straight from a table already. ``max_depth`` and
+    ``partitions`` (of the training rows) are part of what defines the forest. With
+    ``save_to`` the best model goes there with the data's fingerprint, by which
+    :func:`is_current` tells whether it still belongs to a table.
     """
+    shared_folder(df.sparkSession)  # the forest cuts its lineage there
     S.require_columns(df, [*R.FEATURES, S.TARGET, S.TIME], "clean table")
     keep = [c for c in [S.ROW_ORD, S.TIME, S.TARGET, *R.FEATURES] if c in df.columns]
     base = df.select(*keep) if stored else cut_lineage(df.select(*keep))
     split = R.chronological_split(base, test_fraction)
-    train, test = spread(split.train, S.TIME).persist(), split.test
+    train, test = spread(split.train, S.TIME, partitions).persist(), split.test
 
     preparation = R.fit_preparation(train)
     prepared = preparation.transform(train).select("features", F.col(S.TARGET).cast("double")).persist()
     linear = R.linear_regression().fit(prepared)
     forest = R.random_forest(
-        split.train_rows, trees=trees, seed=seed, task_memory=memory_per_task(df.sparkSession)
+        trees=trees, seed=seed, task_memory=memory_per_task(df.sparkSession), max_depth=max_depth
     ).fit(prepared)
     prepared.unpersist()
 
@@ -85,6 +91,7 @@ def train_and_evaluate(
         "test_period": list(periods["test"]),
         "rows": split.rows,
         "fingerprint": fingerprint(base),
+        "settings": f"{test_fraction} {trees} {seed} {max_depth} {partitions}",
         "trained_at": datetime.now(timezone.utc).isoformat(timespec="seconds"),
     }
     if save_to:
@@ -110,3 +117,9 @@ def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, dict] | N
             return None
         raise
     return PipelineModel.load(f"{path}/model"), metadata
+
+
+def is_current(metadata: dict, df: DataFrame) -> bool:
+    """Whether a stored model was fitted on these very rows."""
+    keep = [c for c in [S.ROW_ORD, S.TIME, S.TARGET, *R.FEATURES] if c in df.columns]
+    return metadata["fingerprint"] == fingerprint(df.select(*keep))

@@ -71,7 +71,7 @@ CALENDAR_DOMAIN = {
     "hour": 24, "day": 31, "month": 12, "month_name": 12, "day_of_week": 7, "day_name": 7,
     "is_weekend": 2, "is_holiday": 2, "day_type": 2,
 }
-MAX_BROADCAST_GROUPS = 4_000_000
+MAX_BROADCAST_BYTES = 64 << 20
 
 # Calendar days from year 1 to year 9999: the ceiling of any per-day table. Real tables hold
 # 36,525 a century.

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,18 +32,15 @@ def build_session(app: str = "tidewatch", master: str | None = None, **conf) ->
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, as named by ``spark.checkpoint.dir``.
 
-    A private folder is made only where the session names none and runs on a single machine,
-    i.e. in tests.
+    Where the session names none, a folder in its warehouse, which executors share as well. It
+    is also made the session's checkpoint folder, for the fits that cut their own lineage.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or (
-        spark.sparkContext.getCheckpointDir()
-    )
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("Set spark.checkpoint.dir to a folder all executors share.")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewatch-"))
-    return spark.sparkContext.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured:
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(configured)
+    return configured
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -60,6 +56,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Delete a table made by :func:`cut_lineage` that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+        if "/tidewatch/" in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 _UNITS = {"k": 1 / 1024, "m": 1, "g": 1024, "t": 1024 * 1024}
 
 
@@ -74,11 +79,14 @@ def memory_per_task(spark: SparkSession) -> int:
     return max(1, int(heap / tasks))
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give a stored table at least one partition per core.
+#: Partitions of the rows that iterative fits read, unless the caller names another number.
+FIT_PARTITIONS = 32
+
+
+def spread(df: DataFrame, key: str, partitions: int = FIT_PARTITIONS) -> DataFrame:
+    """The rows dealt by ``key`` to a number of partitions that does not depend on the cluster.
 
-    Only inputs of a few partitions, i.e. small ones, are shuffled; the key makes the result
-    the same on every run.
+    Fits that draw random numbers per partition then give the same model everywhere. Choose
+    more partitions for more rows; the number is part of what defines the result.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    return df.repartition(partitions, key)

@@ -12,7 +12,7 @@ from tidewatch.functions.scalars import blank_missing
 
 
 def read_raw_csv(
-    spark: SparkSession, path: str, *, multiline: bool = False, partitions: int | None = None
+    spark: SparkSession, path: str, *, multiline: bool = True, partitions: int | None = None, verify: bool = True
 ) -> DataFrame:
     """CSV or gzip CSV with a header, every column as text, plus ``row_ord``.
 
@@ -21,6 +21,10 @@ def read_raw_csv(
     block within the file, then order within the block; it is fixed on the scan and must not be
     rebuilt after a shuffle. Gzip cannot be split, so such files arrive one task each; give
     ``partitions`` to spread them before heavy work.
+
+    A quoted text may hold line breaks; files known to have none are read in parallel blocks
+    with ``multiline=False``. Compressed files are read through once to see that they are whole
+    (``verify=False`` trusts them), so damage anywhere in a file is an error that names it.
     """
     try:
         df = (
@@ -38,6 +42,12 @@ def read_raw_csv(
     except (Py4JJavaError, PySparkException) as error:
         raise ValueError(f"'{path}' cannot be read as CSV.") from error
     S.require_columns(df, S.REQUIRED_COLUMNS, f"file '{path}'")
+    packed = [name for name in df.inputFiles() if name.endswith(".gz")]
+    if verify and packed:
+        try:
+            spark.read.text(packed).agg(F.count(F.lit(1))).collect()
+        except (Py4JJavaError, PySparkException) as error:
+            raise ValueError(f"'{path}' cannot be read as CSV: a compressed file is damaged.") from error
     names = df.columns
     df = df.select(
         *[blank_missing(F.col(f"`{c}`")).alias(c) for c in names],

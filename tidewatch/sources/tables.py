@@ -34,6 +34,7 @@ def _number() -> Column:
 def raw_observations(spark: SparkSession, folder: str) -> DataFrame:
     """Dirty raw records from ``events``: every defect the cleaning handles, at hourly grain.
 
+    Every event is kept. Those of some days are moved 90 days on, which leaves a gap in time.
     Every fiftieth event appears twice; the copy is made by ``explode``, so the events are
     read once.
     """
@@ -41,13 +42,14 @@ def raw_observations(spark: SparkSession, folder: str) -> DataFrame:
     in_gap = (ts >= F.lit("2024-01-10 00:00:00").cast("timestamp_ntz")) & (
         ts < F.lit("2024-01-12 06:00:00").cast("timestamp_ntz")
     )
+    moved = F.when(in_gap, ts + F.expr("INTERVAL 90 DAYS")).otherwise(ts)
     hour_text = F.format_string("%s %02d:00:00", ts.cast("date").cast("string"), F.hour(ts))
     volume = (
         F.when(F.col("user_id") == 0, None).when(F.col("user_id") == 1, -F.col("value"))
         .when(F.col("user_id") == 2, F.lit(0.0)).otherwise(F.col("value") * 10)
     )
     copies = F.when(F.col("event_id") % 50 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    events = load(spark, folder, "events").where(~in_gap).withColumn("k", _number())
+    events = load(spark, folder, "events").withColumns({"ts": moved, "k": _number()})
     return events.select(
         F.explode(copies).alias("copy"), F.col("event_id"),
         *[c.alias(name) for name, c in _weather(k).items()],
