@@ -134,7 +134,7 @@ def assign_shards(docs: DataFrame, shards: int, ranges_per_shard: int = 32, id_c
     group = Window.partitionBy("range", "h")
     share = total / shards
     ordered = (
-        splitters.with_range(rows).repartition(max(len(bases), 1), "range")
+        splitters.with_range(rows).repartition("range")
         .withColumn("end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
         .withColumn("place", F.row_number().over(order) - 1)
         .withColumn("group_bytes", F.sum("size").over(group)).withColumn("group_start", F.min(F.col("end") - F.col("size")).over(group))
