@@ -62,7 +62,6 @@ def test_gzip_damaged_past_its_header_is_a_value_error(spark, tmp_path):
     path.write_bytes(whole[: len(whole) // 2])
     with pytest.raises(ValueError, match="cut.csv.gz"):
         readers.read_raw_csv(spark, str(path))
-    assert readers.read_raw_csv(spark, str(path), verify=False).columns
 
 
 def test_line_breaks_within_quotes(spark, tmp_path):
