@@ -43,7 +43,9 @@ from tidewatch.llm.store import written
 SEED = 32
 #: Text bytes whose anchors make up one group of the first shuffle, and anchors per group of the second.
 GROUP_BYTES = 16 << 20
-GROUP_ANCHORS = 20_000
+GROUP_ANCHORS = 8_000
+#: Text taken at a time: the rolling hashes need some hundred bytes for each of it.
+SCAN_BYTES = 1 << 20
 _NULL_ID = -(2**63)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
@@ -182,7 +184,7 @@ def scan_anchors(rows: DataFrame, length: int, groups: int) -> DataFrame:
     """Step 1: anchors that repeat an earlier context (``edge`` false) and those at edges."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=SCAN_BYTES):
                 found = anchors(*flatten(part.column("text")), length)
                 if not len(found["doc"]):
                     continue
