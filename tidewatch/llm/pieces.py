@@ -31,6 +31,9 @@ from tidewatch.llm.flat import IdStore, flatten, gather, slices
 #: What SentencePiece writes for a space (fixed value).
 SPACE = "▁"
 NO_PAIR = np.int32(2**31 - 1)
+#: Text encoded at a time and words remembered: a worker keeps little between tasks.
+TEXT_BYTES = 1 << 20
+WORDS_KEPT = 120_000
 
 
 class PieceTable:
@@ -237,7 +240,7 @@ def _replace_stray(raw: bytes) -> bytes:
 @lru_cache(maxsize=2)
 def _table(model_file: str) -> tuple[PieceTable, IdStore]:
     table = PieceTable(model_file)
-    return table, IdStore(table.encode_words)
+    return table, IdStore(table.encode_words, WORDS_KEPT)
 
 
 def encode_texts(texts: pa.Array, model_file: str) -> tuple[np.ndarray, np.ndarray]:
@@ -268,7 +271,7 @@ def encode_column(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=TEXT_BYTES):
                 ids, counts = encode_texts(part.column("text"), model_file)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "ids"])
@@ -305,7 +308,7 @@ def round_trip(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_co
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, _ = _table(model_file)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=TEXT_BYTES):
                 ids, counts = encode_texts(part.column("text"), model_file)
                 shown, at, sums = table.texts[ids].tolist(), 0, []
                 for n in counts.tolist():
