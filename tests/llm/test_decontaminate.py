@@ -1,5 +1,7 @@
+import itertools
 import random
 
+import numpy as np
 from conftest_llm import ODD, as_set, clashing, prose
 
 from tidewatch.llm import decontaminate
@@ -84,3 +86,34 @@ def test_empty_tables(spark, empty, odd):
     assert decontaminate.overlaps(empty, items_of(spark, [prose(1, 30)])).count() == 0
     assert decontaminate.overlaps(odd, none).count() == 0
     assert as_set(decontaminate.without_overlaps(odd, none), "doc_id") == as_set(odd, "doc_id")
+
+
+def test_every_placement_of_replaced_words(spark, documents):
+    """Against all stretches of the diagonal; no two items share a word."""
+    items = [" ".join(f"i{n}w{k}" for k in range(n)) for n in range(15, 21)]
+    rows, expected = [], set()
+    for k, item in enumerate(items):
+        words = item.split()
+        for m in (1, 2, 3, 4) if len(words) == 20 else (1, 2, 3):
+            for places in itertools.combinations(range(len(words)), m):
+                d = len(rows)
+                rows.append((d, " ".join(f"x{i}" if i in places else w for i, w in enumerate(words))))
+                same = [i not in places for i in range(len(words))]
+                if any(sum(same[a:b]) >= 13 and sum(same[a:b]) >= 0.8 * (b - a) for a in range(len(same)) for b in range(a + 13, len(same) + 1)):
+                    expected.add((d, k))
+    found = pairs(documents(rows), items_of(spark, items))
+    assert len(expected) > 9000 and found == expected
+
+
+def test_masks_miss_no_stretch_that_counts():
+    """All shortest stretches: 13 equal words of up to 16, or exactly four in five up to 30 words."""
+    for n, m in ((13, 0), (14, 1), (15, 2), (16, 3), (20, 4), (25, 5), (30, 6)):
+        same = np.full(1, (1 << n) - 1)
+        if m:  # the first and the last word are equal; others hold a shorter one
+            same = same - (1 << np.array(list(itertools.combinations(range(1, n - 1), m)))).sum(axis=1)
+        hit = np.zeros(len(same), bool)
+        for mask in decontaminate.MASKS:
+            for at in range(n - len(mask) + 1):
+                wanted = int(mask, 2) << at
+                hit |= same & wanted == wanted
+        assert hit.all()

@@ -6,11 +6,12 @@ with a replaced word still hits if the word stands where the mask ignores it, an
 ignore different places. The hashes of all benchmark windows fill a bitmap of fixed size that
 every task holds; a window of a document whose hash is not in it cannot hit. What is left, a few
 rows, is joined with the benchmark's hashes. Around each hit the words of document and item are
-compared on the hit's diagonal, and the stretch around it is taken that holds the most equal
-words after a price of ``PENALTY`` for each unequal one.
+compared on the hit's diagonal.
 
-A document and an item overlap if such a stretch has ``least`` equal words (fewer for an item of
-fewer words: all of them) of which at least ``share`` are equal. Items shorter than a mask are
+A document and an item overlap if any stretch of the diagonal has ``least`` equal words (fewer for
+an item of fewer words: all of them) and at least ``share`` of its words are equal. The masks
+together hit every such stretch of 13 equal words and four in five, wherever its replaced words
+stand; with a lower ``least`` or ``share`` some have no hit. Items shorter than a mask are
 searched whole, by a mask of their own length; items below ``SHORTEST`` words say too little and
 never match. Null and empty texts never match; a null id is reported as such.
 
@@ -34,11 +35,11 @@ from pyspark.sql import functions as F
 from tidewatch.llm.flat import LOWER, distinct, flatten, packed_words, slices, word_bounds
 from tidewatch.llm.store import written
 
-#: Masks of weight 7: 1 is a hashed word, 0 a word that may differ.
-MASKS = ("1110110011", "1101011101", "10111010011", "1100101100111")
+#: Masks of weight 7, and two of weight 6 that hit the few stretches those miss: 1 is a hashed
+#: word, 0 a word that may differ.
+MASKS = ("1110110011", "1101011101", "10111010011", "1100101100111", "1101111", "10111000101")
 SHORTEST = 5
 CONTEXT = 64
-PENALTY = 4
 BITMAP_BITS = 24
 BROADCAST_BYTES = 32 << 20
 WINDOW_BYTES = 64  # a row of the benchmark's windows in memory, amply
@@ -195,24 +196,31 @@ def hits(docs: DataFrame, masks: list[str], cells: np.ndarray, id_col: str = "do
     return rows.mapInArrow(work, "doc_id long, mask int, hash long, at long, left binary, right binary")
 
 
-def best_stretch(left_doc: np.ndarray, left_item: np.ndarray, right_doc: np.ndarray, right_item: np.ndarray) -> tuple[int, int, int]:
-    """Words to the left, words to the right, and equal words of the best stretch around a hit.
-
-    ``left_*`` run away from the hit. Each side ends where equal words minus ``PENALTY`` for each
-    unequal one are the most.
+def best_stretch(same: np.ndarray, least: int, share: float) -> tuple[int, int, int] | None:
+    """Begin, length and equal words of the stretch with the most equal words (ties: the shortest,
+    then the first) among those that have ``least`` and the share; None if there is none.
     """
-    def side(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-        n = min(len(a), len(b))
-        same = a[:n] == b[:n]
-        gain = np.cumsum(np.where(same, 1, -PENALTY))
-        if not n or gain.max() <= 0:
-            return 0, 0
-        end = int(len(gain) - gain[::-1].argmax())
-        return end, int(same[:end].sum())
-
-    back, equal_back = side(left_doc, left_item)
-    ahead, equal_ahead = side(right_doc, right_item)
-    return back, ahead, equal_back + equal_ahead
+    if same.sum() < least:
+        return None
+    equal = np.r_[0, np.cumsum(same)]
+    begin = np.flatnonzero(same)  # a stretch that begins or ends with an unequal word has no more
+    end = begin + 1
+    n = end - begin[:, None]
+    held = equal[end] - equal[begin][:, None]
+    good = (n > 0) & (held >= least) & (held >= share * n)
+    if not good.any():
+        return None
+    at, to = np.unravel_index(np.where(good, held * (len(same) + 1) - n, -1).argmax(), n.shape)
+    return int(begin[at]), int(n[at, to]), int(held[at, to])
+
+
+def diagonal(left: np.ndarray, right: np.ndarray, item: np.ndarray, place: int) -> tuple[np.ndarray, int]:
+    """Which words around a hit equal the item's word beside them, and how many of them stand
+    before the hit. ``left`` ends at the hit, ``right`` begins at it; ``place`` is its word in the item.
+    """
+    back, ahead = min(len(left), place), min(len(right), len(item) - place)
+    words = np.concatenate([left[len(left) - back:], right[:ahead]])
+    return words == item[place - back: place + ahead], back
 
 
 def overlaps(docs: DataFrame, items: DataFrame, least: int = 13, share: float = 0.8) -> DataFrame:
@@ -240,11 +248,12 @@ def overlaps(docs: DataFrame, items: DataFrame, least: int = 13, share: float =
                 if near and near["doc_start"] <= r["at"] < near["doc_start"] + near["n_words"]:
                     continue  # the stretch around an earlier hit of this diagonal holds this one
                 item = np.frombuffer(r["words"], np.uint32)
-                back, ahead, equal = best_stretch(
-                    np.frombuffer(r["left"], np.uint32)[::-1], item[: r["place"]][::-1], np.frombuffer(r["right"], np.uint32), item[r["place"]:])
-                n = back + ahead
-                if equal >= min(least, len(item)) and equal >= share * n:
-                    row = {"doc_id": r["doc_id"], "item_id": r["item_id"], "doc_start": r["at"] - back, "n_words": n, "n_equal": equal, "item_words": len(item)}
+                same, back = diagonal(np.frombuffer(r["left"], np.uint32), np.frombuffer(r["right"], np.uint32), item, r["place"])
+                best = best_stretch(same, min(least, len(item)), share)
+                if best:
+                    row = {
+                        "doc_id": r["doc_id"], "item_id": r["item_id"], "doc_start": r["at"] - back + best[0], "n_words": best[1], "n_equal": best[2],
+                        "item_words": len(item)}
                     seen[key] = row
                     out.append(row)
             yield pa.RecordBatch.from_pylist(out, schema)
