@@ -117,3 +117,22 @@ def test_masks_miss_no_stretch_that_counts():
                 wanted = int(mask, 2) << at
                 hit |= same & wanted == wanted
         assert hit.all()
+
+
+def test_neighbouring_copies_of_a_short_item(spark, documents):
+    item = "six words that stand in line"
+    rows = [(i, item) for i in range(40)]
+    assert pairs(documents(rows, partitions=1), items_of(spark, [item])) == {(i, 0) for i in range(40)}
+
+
+def test_a_full_bitmap_costs_no_hit(spark, documents, monkeypatch):
+    """As with a benchmark so large that every place of a document hits the bitmap."""
+    items = [" ".join(f"i{k}w{j}" for j in range(16)) for k in range(6)] + ["seven words that stand in one line"]
+    rows = []
+    for d in range(60):
+        words = [w if j not in (3, 7, 11) else f"x{d}" for j, w in enumerate(items[d % 7].split())] if d % 7 < 6 else items[6].split()
+        rows.append((d, f"{prose(d, d % 13)} {' '.join(words)} {prose(100 + d, 30)}"))
+    expected = {(d, d % 7) for d in range(60)}
+    assert pairs(documents(rows), items_of(spark, items)) == expected
+    monkeypatch.setattr(decontaminate, "bitmap", lambda windows: np.full(1 << 10, 2**64 - 1, np.uint64))
+    assert pairs(documents(rows), items_of(spark, items)) == expected

@@ -16,8 +16,9 @@ searched whole, by a mask of their own length; items below ``SHORTEST`` words sa
 never match. Null and empty texts never match; a null id is reported as such.
 
 Hits carry ``CONTEXT`` words on either side, so checking needs no second look at the document.
-Of windows that hit one after another every fourth is enough: a stretch of ``least`` equal words
-holds more than that, and shorter runs keep all of theirs. A passage that a third of all
+Every window that hits is joined: only then is it known which hits are true, and those within a
+stretch found by an earlier hit of their document, item and diagonal are passed over. So a false
+hit of the bitmap costs time and never a true one. A passage that a third of all
 documents hold makes that many rows with the same few hashes: the benchmark's tables are measured
 and sent to every task if they are within ``BROADCAST_BYTES``; otherwise both sides are shuffled
 and skewed keys are split by the engine.
@@ -43,7 +44,6 @@ CONTEXT = 64
 BITMAP_BITS = 24
 BROADCAST_BYTES = 32 << 20
 WINDOW_BYTES = 64  # a row of the benchmark's windows in memory, amply
-RUN = 4
 
 _WORD = np.zeros(256, bool)
 _WORD[0x30:0x3A] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
@@ -142,15 +142,6 @@ def _short(words: np.ndarray) -> np.ndarray:
     return (words >> np.uint64(32)).astype(np.uint32)
 
 
-def _thinned(maybe: np.ndarray) -> np.ndarray:
-    """Of places that follow one another, every ``RUN``-th and the last; all of a shorter run."""
-    fresh = np.r_[True, maybe[1:] != maybe[:-1] + 1]
-    number = np.cumsum(fresh) - 1
-    length = np.bincount(number)[number]
-    position = np.arange(len(maybe)) - np.flatnonzero(fresh)[number]
-    return maybe[(length < RUN) | (position % RUN == 0) | (position == length - 1)]
-
-
 def bitmap(windows: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
     """2 ** bits bits, set where a window's hash has these low bits. Its size is fixed."""
     slot = F.col("hash").bitwiseAND(F.lit((1 << bits) - 1))
@@ -183,7 +174,6 @@ def hits(docs: DataFrame, masks: list[str], cells: np.ndarray, id_col: str = "do
                     maybe = np.flatnonzero((table[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1))
                     if not len(maybe):
                         continue
-                    maybe = _thinned(maybe)
                     for some in np.array_split(maybe, len(maybe) // 2000 + 1):
                         places, own = at[some], owner[some]
                         yield pa.RecordBatch.from_pydict({
