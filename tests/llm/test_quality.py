@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from conftest_llm import ODD, as_set, clashing, prose
 
-from tidewatch.llm import boosting, licenses, quality_model, quality_rules
+from tidewatch.llm import boosting, license_rules, licenses, quality_model, quality_rules
 from tidewatch.llm.license_rules import BASE_PHRASES
 
 
@@ -163,3 +163,23 @@ def test_trees_learn_and_constant_labels():
     assert ((model.score(x) > 0.5) == (y == 1)).mean() > 0.97
     assert boosting.fit(x, np.ones(2000)).score(x).std() == 0
     assert boosting.fit(x[:0], y[:0]).score(x[:3]).tolist() == [0.5] * 3
+
+
+def test_gates_lose_no_detection():
+    """Every spelling of every name, identifier and sentence: gated and ungated runs agree."""
+    texts = [(name, f"licensed under the {t}") for _, name, _, _ in license_rules.NAMES for t in license_rules.spelled(name)]
+    texts += [(short, f"spdx license identifier {t}") for _, _, short, _ in license_rules.NAMES for t in license_rules.spelled(short)]
+    texts += [(text, t) for _, _, _, text, _ in license_rules.SENTENCES for t in license_rules.spelled(text)]
+    assert len(texts) > 800
+    for pattern, text in texts:
+        words = text.replace(license_rules.WILD, "3").split()
+        assert re.search(rf"(?<![^ ])(?:{pattern})(?![^ ])", " ".join(words)), (pattern, text)
+        ungated = licenses.detections(words, set(licenses.KEYWORDS))
+        assert ungated and licenses.detections(words, licenses.KEYWORDS.intersection(words)) == ungated, text
+
+
+@pytest.mark.parametrize("text, label", [
+    ("Licensed under the MPLv2", "mpl-2"), ("licensed under the EPLv2", "epl-2"), ("released under LGPL3", "lgpl-3"), ("under the AGPL3 license", "agpl-3"),
+    ("licensed under CDDLv1", "cddl-1"), ("covered under the EUPLv1.2", "eupl-1.2")])
+def test_joined_versions(documents, text, label):
+    assert licenses.scan_licenses(documents([(1, text)])).first().labels == label

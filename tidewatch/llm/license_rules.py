@@ -21,7 +21,8 @@ class Rule:
     weight: float
 
 
-# Label, the license's name, its short identifier, and words one of which any mention must hold.
+# Label, the license's name, its short identifier, and words one of which most mentions hold; the
+# words of the mentions that hold none are added from the patterns (``keywords_of``).
 # A bare number is a version; "v" may stand before it.
 NAMES: list[tuple[str, str, str, str]] = [
     ("mit", r"(?:mit|expat|mit x11|mit expat)", r"mit", "mit expat"),
@@ -104,6 +105,9 @@ NAMES: list[tuple[str, str, str, str]] = [
     ("ecl-2", r"(?:educational community|ecl)(?: license)?(?: version)? 2(?: 0)?", r"ecl 2 0", "educational ecl"),
 ]
 
+#: An open part of a pattern in ``spelled``.
+WILD = "\0"
+
 # How a license is stated: priority, weight, and the pattern around the name or the identifier.
 STATED: list[tuple[int, float, str]] = [
     (1, 1.0, r"spdx licen[cs]e identifier {short}"),
@@ -149,15 +153,60 @@ BASE_PHRASES: dict[str, str] = {
 }
 
 
+def spelled(pattern: str) -> set[str]:
+    """All texts that a pattern of this file matches; ``WILD`` stands for what it leaves open.
+
+    Knows what the patterns above are made of: letters, ``(?:a|b)``, ``[ab]``, ``?``, and the open
+    parts ``\\d``, ``\\w+`` and ``.{m,n}?``.
+    """
+    def either(i: int) -> tuple[set[str], int]:
+        done, now = set(), {""}
+        while i < len(pattern) and pattern[i] != ")":
+            if pattern[i] == "|":
+                done, now, i = done | now, {""}, i + 1
+                continue
+            if pattern.startswith("(?:", i):
+                part, i = either(i + 3)
+                i += 1
+            elif pattern[i] == "[":
+                end = pattern.index("]", i)
+                part, i = set(pattern[i + 1: end]), end + 1
+            elif pattern[i] in "\\.":
+                part, i = {WILD}, i + (2 if pattern[i] == "\\" else 1)
+            else:
+                part, i = {pattern[i]}, i + 1
+            if pattern.startswith("{", i):
+                i = pattern.index("}?", i) + 2
+            elif pattern.startswith("+", i):
+                i += 1
+            elif pattern.startswith("?", i):
+                part, i = part | {""}, i + 1
+            now = {a + b for a in now for b in part}
+        return done | now, i
+
+    return either(0)[0]
+
+
+def keywords_of(listed: str, *patterns: str) -> frozenset[str]:
+    """The listed words, and the longest word of every text of the patterns that holds none of them."""
+    words = set(listed.split())
+    for text in sorted(set().union(*map(spelled, patterns))):
+        whole = [w for w in text.split(" ") if w and WILD not in w]
+        if not words.intersection(whole):
+            words.add(max(whole, key=len))
+    return frozenset(words)
+
+
 def rules() -> list[Rule]:
     """Every statement of every name, then the sentences, in order of priority."""
+    named = [(label, name, short, keywords_of(keys, name, short)) for label, name, short, keys in NAMES]
     found = [
-        Rule(label, _words(form.format(name=name, short=short)), frozenset(keys.split()), priority, weight)
-        for priority, weight, form in STATED for label, name, short, keys in NAMES
+        Rule(label, _words(form.format(name=name, short=short)), keys, priority, weight)
+        for priority, weight, form in STATED for label, name, short, keys in named
     ]
     # A full name that ends in its version says enough by itself.
-    found += [Rule(label, _words(name), frozenset(keys.split()), 3, 0.8) for label, name, _, keys in NAMES if "public license" in name]
-    found += [Rule(label, _words(text), frozenset(keys.split()), priority, weight) for label, priority, weight, text, keys in SENTENCES]
+    found += [Rule(label, _words(name), keys, 3, 0.8) for label, name, _, keys in named if "public license" in name]
+    found += [Rule(label, _words(text), keywords_of(keys, text), priority, weight) for label, priority, weight, text, keys in SENTENCES]
     return sorted(found, key=lambda r: r.priority)
 
 
