@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SPIKE, SPIKE_ROW, rows_of
+from observations import SPIKE, SPIKE_ROW, rows_of
 from tidewatch import schema as S
 from tidewatch.functions.sampling import bounded_sample
 from tidewatch.functions.scalars import date_label, round_to

@@ -7,7 +7,7 @@ from random import Random
 
 import pytest
 
-from conftest import rows_of
+from observations import rows_of
 from tidewatch import schema as S
 from tidewatch.operators import anomalies as N
 from tidewatch.operators import quality as Q

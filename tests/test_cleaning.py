@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import DEFECT_ROWS, RAW_DDL, hourly_rows, raw_frame, rows_of
+from observations import DEFECT_ROWS, RAW_DDL, hourly_rows, raw_frame, rows_of
 from tidewatch import MissingColumnsError
 from tidewatch import schema as S
 from tidewatch.operators import cleaning as C

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import hourly_rows, raw_frame, rows_of
+from observations import hourly_rows, raw_frame, rows_of
 from tidewatch import MissingColumnsError
 from tidewatch import schema as S
 from tidewatch.operators import regression as R

@@ -2,7 +2,7 @@ import gzip
 
 import pytest
 
-from conftest import DEFECT_ROWS
+from observations import DEFECT_ROWS
 from tidewatch import MissingColumnsError, SourceNotFoundError
 from tidewatch import schema as S
 from tidewatch.operators import anomalies as N

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from conftest import rows_of
+from observations import rows_of
 
 FOLDER = "/root/testdata/sf0.001"
 NAMES = [
