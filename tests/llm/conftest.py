@@ -1,6 +1 @@
-import os
-import sys
-
-sys.path.insert(0, os.path.dirname(__file__))
-
-from conftest_llm import documents, empty, odd, stored  # noqa: E402, F401
+from corpora import documents, empty, odd, stored  # noqa: F401

@@ -2,7 +2,7 @@ import itertools
 import random
 
 import numpy as np
-from conftest_llm import ODD, as_set, clashing, prose
+from corpora import ODD, as_set, clashing, prose
 
 from tidewatch.llm import decontaminate
 

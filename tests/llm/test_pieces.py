@@ -4,7 +4,7 @@ import random
 import pyarrow as pa
 import pytest
 import sentencepiece
-from conftest_llm import ODD, as_set, clashing
+from corpora import ODD, as_set, clashing
 
 from tidewatch.llm import pieces
 from tidewatch.llm.queries import tokenizer_path

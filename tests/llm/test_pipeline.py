@@ -6,7 +6,7 @@ import re
 import duckdb
 import pytest
 import sentencepiece
-from conftest_llm import FOLDER
+from corpora import FOLDER
 from test_line_dedup import brute as repeated_lines
 from test_simhash import brute as groups
 

@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest_llm import ODD, as_set, clashing, prose
+from corpora import ODD, as_set, clashing, prose
 
 from tidewatch.llm import boosting, license_rules, licenses, quality_model, quality_rules
 from tidewatch.llm.license_rules import BASE_PHRASES

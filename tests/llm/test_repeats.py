@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest_llm import ODD, as_set, clashing, prose
+from corpora import ODD, as_set, clashing, prose
 
 from tidewatch.llm import repeats
 

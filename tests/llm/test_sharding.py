@@ -1,7 +1,7 @@
 import random
 import zlib
 
-from conftest_llm import ODD, as_set, clashing, prose
+from corpora import ODD, as_set, clashing, prose
 
 from tidewatch.llm import sharding
 from tidewatch.llm.store import new_folder

@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 import xxhash
-from conftest_llm import ODD, as_set, clashing, prose
+from corpora import ODD, as_set, clashing, prose
 
 from tidewatch.llm import simhash
 from tidewatch.llm.components import components

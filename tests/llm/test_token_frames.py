@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest_llm import ODD, as_set, clashing
+from corpora import ODD, as_set, clashing
 from tokenizers import Tokenizer
 
 from tidewatch.llm import token_frames
