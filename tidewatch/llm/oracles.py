@@ -92,5 +92,41 @@ SELECT d.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_remov
 FROM docs d LEFT JOIN cut c USING (doc_id)"""
 
 
+_COLLOCATIONS = r"""WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), cut AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda w: w <> '') AS ws FROM pieces
+), totals AS (
+  SELECT lang, CAST(sum(len(ws)) AS HUGEINT) AS n FROM cut GROUP BY lang
+), grams AS (
+  SELECT lang, size, unnest(list_transform(range(1, len(ws) - size + 2), lambda i: array_to_string(ws[i:i + size - 1], ' '))) AS phrase
+  FROM cut, (VALUES (1), (2), (3), (4), (5)) AS t(size) WHERE len(ws) >= size
+), f AS (
+  SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL
+), candidates AS (
+  SELECT lang, size, phrase, string_split(phrase, ' ') AS ws, f AS a FROM f WHERE size > 1 AND f >= 100
+), inner_phrases AS (
+  SELECT lang, a, array_to_string(ws[i:i + short - 1], ' ') AS phrase
+  FROM candidates, (VALUES (2), (3), (4)) AS s(short), (VALUES (1), (2), (3), (4)) AS p(i)
+  WHERE short < size AND i + short - 1 <= size
+), inside AS (
+  SELECT lang, phrase, max(a) AS longer FROM inner_phrases GROUP BY ALL
+), cuts AS (
+  SELECT c.lang, c.phrase, c.a, k, array_to_string(ws[1:k], ' ') AS head, array_to_string(ws[k + 1:], ' ') AS tail
+  FROM candidates c LEFT JOIN inside USING (lang, phrase), (VALUES (1), (2), (3), (4)) AS t(k)
+  WHERE k < size AND (longer IS NULL OR 100 * longer < 100 * a)
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, n, k, (1000 * CAST(c.a AS HUGEINT) * n) // (CAST(x.f AS HUGEINT) * y.f) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = head JOIN f y ON y.lang = c.lang AND y.phrase = tail JOIN totals t ON t.lang = c.lang
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r,
+  CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM lowest QUALIFY rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_repeats": _REPEATS, "op6_quality_rules": _quality()}
+    return {"op2_repeats": _REPEATS, "op6_quality_rules": _quality(), "op11_collocations": _COLLOCATIONS}

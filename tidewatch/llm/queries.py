@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, licenses, line_dedup, pieces, piecewise, quality_model, quality_rules, repeats, sharding, simhash, token_frames
+from tidewatch.llm import alignment, collocations, decontaminate, licenses, line_dedup, pieces, piecewise, quality_model, quality_rules, repeats, sharding, simhash, token_frames
 
 
 #: Where this package is on this machine. On a cluster it is installed, or shipped by --py-files.
@@ -72,9 +72,17 @@ def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.round_trip(table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.mine(table(spark, folder, "documents"), least=100, top=2000)
+
+
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align_corpus(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op13_piecewise(spark: SparkSession, folder: str) -> DataFrame:
     return piecewise.edited_neighbours(table(spark, folder, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_repeats, op3_decontaminate, op4_token_frames, op5_line_dedup, op6_quality_rules, op7_simhash, op8_licenses, op9_quality_model, op10_pieces, op13_piecewise)}
+    return {f.__name__: f for f in (op1_sharding, op2_repeats, op3_decontaminate, op4_token_frames, op5_line_dedup, op6_quality_rules, op7_simhash, op8_licenses, op9_quality_model, op10_pieces, op11_collocations, op12_alignment, op13_piecewise)}
