@@ -91,8 +91,9 @@ def _languages(part: pa.RecordBatch) -> tuple[list[str], np.ndarray, np.ndarray]
     return names, coded.indices.to_numpy(zero_copy_only=False), hashes
 
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+def _slot(h: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The place of each hash in a table of a power of two of slots: its highest bits."""
+    return (h >> np.uint64(64 - (len(table) - 1).bit_length())).astype(np.int64)
 
 
 def _phrases(words: Words, start: np.ndarray, longest: int, active) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -136,11 +137,11 @@ class _Tally:
         self.parts = [(h[first], tag[first], np.add.reduceat(n, first) if len(first) else n)]
         self.held = len(first)
 
-    def batches(self) -> Iterator[pa.RecordBatch]:
+    def batches(self, rows: int) -> Iterator[pa.RecordBatch]:
         self.compact()
         for h, tag, n in self.parts:
-            for at in range(0, len(h), BATCH_ROWS):
-                cut = slice(at, at + BATCH_ROWS)
+            for at in range(0, len(h), rows):
+                cut = slice(at, at + rows)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h[cut].view(np.int64)), pa.array(tag[cut]), pa.array(n[cut].astype(np.int64))], ["h", "tag", "n"])
         self.parts, self.held = [], 0
@@ -148,11 +149,13 @@ class _Tally:
 
 def _scan(shard: DataFrame, table, step: int, shards: int, sizes: list[int]) -> DataFrame:
     """(h, tag, n): counts of the active phrases of ``sizes`` in a shard. tag: 8 * first step + size."""
+    held, rows = HELD, BATCH_ROWS
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reached = table.value
 
         def active(h: np.ndarray) -> np.ndarray:
-            since = reached[_slot(h)].astype(np.int16) + 1
+            since = reached[_slot(h, reached)].astype(np.int16) + 1
             since[since > step] = NEVER + 1
             return since
 
@@ -166,11 +169,11 @@ def _scan(shard: DataFrame, table, step: int, shards: int, sizes: list[int]) ->
                     if size in sizes:
                         now = since + shards > step
                         tally.add(h[now], since[now].astype(np.int32) * 8 + size)
-                if tally.held > HELD:
+                if tally.held > held:
                     tally.compact()
-                    if tally.held > HELD // 2:
-                        yield from tally.batches()
-        yield from tally.batches()
+                    if tally.held > held // 2:
+                        yield from tally.batches(rows)
+        yield from tally.batches(rows)
 
     return shard.select("lang", "text").mapInArrow(work, "h long, tag int, n long")
 
@@ -235,6 +238,7 @@ COUNTS = "lang string, size int, phrase string, n long"
 def _recount(sharded: DataFrame, wanted: np.ndarray) -> DataFrame:
     """(lang, size, phrase, n) of all phrases in marked slots, and per language a row of size 0 with all words."""
     table = sharded.sparkSession.sparkContext.broadcast(wanted)
+    most = BATCH_ROWS
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = table.value
@@ -259,10 +263,10 @@ def _recount(sharded: DataFrame, wanted: np.ndarray) -> DataFrame:
                 start = hashes[of] if len(of) else words.hash
 
                 def active(h: np.ndarray) -> np.ndarray:
-                    return np.where(marked[_slot(h)], 0, NEVER + 1).astype(np.int16)
+                    return np.where(marked[_slot(h, marked)], 0, NEVER + 1).astype(np.int16)
 
                 for size, at, h, _ in _phrases(words, start, LONGEST, active):
-                    at = at[marked[_slot(h)]]
+                    at = at[marked[_slot(h, marked)]]
                     # Distinct phrases of the slice by their distinct words, which no hash stands for.
                     rows = np.stack([of[at], *(words.which[at + k] for k in range(size))])
                     order = np.lexsort(rows[::-1])
@@ -271,7 +275,7 @@ def _recount(sharded: DataFrame, wanted: np.ndarray) -> DataFrame:
                     for row, n in zip(rows[:, first].T.tolist(), np.diff(np.r_[first, rows.shape[1]]).tolist()):
                         key = (names[row[0]], size, b" ".join(strings[w] for w in row[1:]))
                         counts[key] = counts.get(key, 0) + n
-                if len(counts) > BATCH_ROWS:
+                if len(counts) > most:
                     yield out()
         yield out()
 
