@@ -116,6 +116,19 @@ def _phrases(words: Words, start: np.ndarray, longest: int, active) -> Iterator[
         yield size, at, h, since
 
 
+def _packed(table: np.ndarray) -> bytes:
+    """A table of slots for the way to the tasks: where few slots are in use, a fraction of its size."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(table.tobytes())
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+
+
 class _Tally:
     """Counts by (hash, tag), added up when many are held."""
 
@@ -152,7 +165,7 @@ def _scan(shard: DataFrame, table, step: int, shards: int, sizes: list[int]) ->
     held, rows = HELD, BATCH_ROWS
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reached = table.value
+        reached = _unpacked(table.value)
 
         def active(h: np.ndarray) -> np.ndarray:
             since = reached[_slot(h, reached)].astype(np.int16) + 1
@@ -208,7 +221,7 @@ def frequent_hashes(sharded: DataFrame, shards: int, least: int) -> np.ndarray:
         sizes = [s for s in range(1, LONGEST + 1) if (step < shards if s == 1 else last[s - 1] >= 0 and step <= last[s - 1] + shards)]
         if not sizes or step >= NEVER:
             break
-        table = spark.sparkContext.broadcast(reached)
+        table = spark.sparkContext.broadcast(_packed(reached))
         counted = _scan(sharded.where(F.col("shard") == step % shards), table, step, shards, sizes)
         if running is not None:
             counted = running.where((F.shiftright("tag", 3) + shards) > step).union(counted)
@@ -225,7 +238,7 @@ def frequent_hashes(sharded: DataFrame, shards: int, least: int) -> np.ndarray:
         reached[fresh] = step
         if running is not None:
             dropped(running)
-        table.unpersist()
+        table.destroy()
         running, step = tally, step + 1
     if running is not None:
         dropped(running)
@@ -237,11 +250,11 @@ COUNTS = "lang string, size int, phrase string, n long"
 
 def _recount(sharded: DataFrame, wanted: np.ndarray) -> DataFrame:
     """(lang, size, phrase, n) of all phrases in marked slots, and per language a row of size 0 with all words."""
-    table = sharded.sparkSession.sparkContext.broadcast(wanted)
+    table = sharded.sparkSession.sparkContext.broadcast(_packed(wanted))
     most = BATCH_ROWS
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked = table.value
+        marked = _unpacked(table.value).view(bool)
         counts: dict[tuple, int] = {}
 
         def out() -> pa.RecordBatch:
