@@ -69,7 +69,7 @@ def test_rows_match_plain_counting(documents, shards):
     assert sorted(found) == expected
 
 
-@pytest.mark.parametrize("bits", [1, 4])
+@pytest.mark.parametrize("bits", [3, 6])
 def test_shared_slots_lose_nothing(documents, monkeypatch, bits):
     monkeypatch.setattr(collocations, "SLOT_BITS", bits)
     monkeypatch.setattr(collocations, "HELD", 50)
@@ -78,11 +78,18 @@ def test_shared_slots_lose_nothing(documents, monkeypatch, bits):
     assert sorted(as_set(collocations.mine(documents(rows), least=4), *COLUMNS)) == plain(rows, 4, 2000)
 
 
-def test_a_hash_that_phrases_share_only_adds_candidates(documents, monkeypatch):
-    """The last scan counts by words, whatever slots are marked."""
+def test_phrases_of_one_hash_are_counted_by_their_words(documents, monkeypatch):
+    """Where the second hash tells a clash, the last scan counts by words, whatever slots are marked."""
     import numpy as np
+    from pyspark.sql import functions as F
 
-    monkeypatch.setattr(collocations, "frequent_hashes", lambda *_: np.ones(1 << collocations.SLOT_BITS, bool))
+    whole = collocations.frequent_hashes
+
+    def clashing_hashes(*args):
+        frequent, wanted = whole(*args)
+        return frequent.withColumn("high", F.col("low") + 1), np.ones(1 << collocations.SLOT_BITS, bool)
+
+    monkeypatch.setattr(collocations, "frequent_hashes", clashing_hashes)
     rows = corpus(12, 6)
     assert sorted(as_set(collocations.mine(documents(rows), least=4), *COLUMNS)) == plain(rows, 4, 2000)
 

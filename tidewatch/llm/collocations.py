@@ -9,12 +9,17 @@ are counted from the start. A longer phrase becomes active at the step after bot
 counted for exactly one full cycle, while longer ones begin on their own. So phrases of several
 lengths are counted by the same scan, and a scan ends when every active phrase has had its cycle.
 
-A phrase is a 64-bit hash while it is counted. The step from which subphrases are active stands in
-a table of ``2 ** SLOT_BITS`` slots that every task holds (16 MB, whatever the input). Phrases that
-share a slot or a hash can only be active earlier or be counted higher, never be missed; all that
-reach ``least`` that way are counted once more by their words in a last scan, which makes texts and
-numbers exact. A task adds up its own counts before they are shuffled; the running table holds one
-number per phrase whose cycle is not over, and phrases that ended below ``least`` leave it.
+A phrase is a 64-bit hash while it is counted, with the least and greatest of a second hash of 32
+bits and one row where it stands. The step from which subphrases are active stands in a table of
+``2 ** SLOT_BITS`` slots that every task holds (32 MB, whatever the input). Phrases that share a
+slot can only be active earlier, never be missed. A task adds up its own counts before they are
+shuffled; the running table holds one number per phrase whose cycle is not over, and phrases that
+ended below ``least`` leave it. When all phrases of two words have had their cycle, texts are cut
+down to the runs of words whose neighbours all are frequent pairs, as longer phrases consist of
+them, and further cycles scan these.
+
+At the end the rows that phrases were seen in give their words. Should two phrases have had one
+hash, which the second one tells, all are counted once more by their words instead.
 
 Scores: a phrase seen ``a`` times in a language of ``n`` words, cut into parts seen ``l`` and ``r``
 times, scores ``floor(1000 * a * n / (l * r))`` in exact decimals; the lowest-scoring cut counts,
@@ -39,13 +44,15 @@ from tidewatch.llm.flat import LOWER, distinct, flatten, packed_words, slices, w
 from tidewatch.llm.store import dropped, new_folder, written
 
 LONGEST = 5
-SHARDS = 4
+SHARDS = 3
 UNKNOWN = "und"
-SLOT_BITS = 24
+SLOT_BITS = 25
 NEVER = 255
 #: Counts a task holds before it adds them up, and rows of a batch that leaves it.
 HELD = 3_000_000
 BATCH_ROWS = 200_000
+#: Phrases and where they were seen go to every task up to this size.
+BROADCAST_BYTES = 16 << 20
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -56,10 +63,11 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass
 class Words:
-    """The words of a slice of texts: their text, a hash, the distinct word, and whether the next follows it."""
+    """The words of a slice of texts: their text, two hashes, the distinct word, and whether the next follows it."""
 
     text: np.ndarray
     hash: np.ndarray
+    second: np.ndarray
     follows: np.ndarray
     which: np.ndarray
     strings: pa.Array
@@ -77,8 +85,9 @@ def words_of(part: pa.RecordBatch) -> Words:
     follows = np.zeros(len(begins), bool)
     follows[:-1] = (text[1:] == text[:-1]) & (piece[1:] == piece[:-1])
     strings, which = distinct(*packed_words(data, inside, begins, ends))
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(s) for s in strings.to_pylist()), np.uint64, len(strings))
-    return Words(text, hashes[which] if len(which) else hashes, follows, which, strings)
+    raw = b"".join(map(xxhash.xxh3_128_digest, strings.to_pylist()))
+    hashes = np.frombuffer(raw, np.uint64).reshape(-1, 2)
+    return Words(text, hashes[which, 0], hashes[which, 1].astype(np.uint32), follows, which, strings)
 
 
 def _languages(part: pa.RecordBatch) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -91,29 +100,36 @@ def _languages(part: pa.RecordBatch) -> tuple[list[str], np.ndarray, np.ndarray]
     return names, coded.indices.to_numpy(zero_copy_only=False), hashes
 
 
-def _slot(h: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """The place of each hash in a table of a power of two of slots: its highest bits."""
-    return (h >> np.uint64(64 - (len(table) - 1).bit_length())).astype(np.int64)
+def _slot(h: np.ndarray, table: np.ndarray, size: int) -> np.ndarray:
+    """The place of each phrase hash in a table of a power of two of slots, an eighth for each size.
+
+    Sizes share no slots: phrases are scanned for from the step at which shorter ones got theirs.
+    """
+    eighth = len(table) // 8
+    if eighth == 1:
+        return np.full(len(h), size, np.int64)
+    return size * eighth + (h >> np.uint64(64 - (eighth - 1).bit_length())).astype(np.int64)
 
 
-def _phrases(words: Words, start: np.ndarray, longest: int, active) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(size, places, hashes, active since) of the phrases whose subphrases are active.
+def _phrases(words: Words, start: np.ndarray, longest: int, active) -> Iterator[tuple]:
+    """(size, places, hashes, second hashes, active since) of the phrases whose subphrases are active.
 
     ``active`` gives for hashes the step from which a phrase made of them counts, ``NEVER + 1`` for
     none; only phrases with such a step are followed further.
     """
-    at, h = np.arange(len(words.hash)), start * _STEP + words.hash
-    yield 1, at, h, np.zeros(len(at), np.int16)
+    at, h, second = np.arange(len(words.hash)), start * _STEP + words.hash, words.second
+    yield 1, at, h, second, np.zeros(len(at), np.int16)
     for size in range(2, longest + 1):
         both = at[1:] == at[:-1] + 1
         if size == 2:
             both &= words.follows[at[:-1]]
         i = np.flatnonzero(both)
-        since = active(h)
+        since = active(h, size - 1)
         since = np.maximum(since[i], since[i + 1])
         i, since = i[since <= NEVER], since[since <= NEVER]
-        at, h = at[i], h[i] * _STEP + words.hash[at[i] + size - 1]
-        yield size, at, h, since
+        at, end = at[i], at[i] + size - 1
+        h, second = h[i] * _STEP + words.hash[end], second[i] * np.uint32(0x85EBCA6B) + words.second[end]
+        yield size, at, h, second, since
 
 
 def _packed(table: np.ndarray) -> bytes:
@@ -129,46 +145,60 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
 
 
+_COUNTED = "h long, tag int, n long, low int, high int, spot long"
+
+
 class _Tally:
-    """Counts by (hash, tag), added up when many are held."""
+    """Counts by (hash, tag) with the range of the second hash and a row; added up when many are held."""
 
     def __init__(self):
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.parts: list[tuple[np.ndarray, ...]] = []
         self.held = 0
 
-    def add(self, h: np.ndarray, tag: np.ndarray) -> None:
-        self.parts.append((h, tag, np.ones(len(h), np.int32)))
+    def add(self, h, tag, n, second, spot) -> None:
+        self.parts.append((h, tag, n, second, second, spot))
         self.held += len(h)
 
     def compact(self) -> None:
         if not self.parts:
             return
-        h, tag, n = (np.concatenate(x) for x in zip(*self.parts))
+        h, tag, n, low, high, spot = (np.concatenate(x) for x in zip(*self.parts))
         order = np.argsort(h)
-        h, tag, n = h[order], tag[order], n[order]
+        h, tag = h[order], tag[order]
         first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (tag[1:] != tag[:-1])][: len(h)])
-        self.parts = [(h[first], tag[first], np.add.reduceat(n, first) if len(first) else n)]
+        if len(first):
+            n = np.add.reduceat(n[order], first)
+            low, spot = (np.minimum.reduceat(x[order], first) for x in (low, spot))
+            high = np.maximum.reduceat(high[order], first)
+        self.parts = [(h[first], tag[first], n, low, high, spot)]
         self.held = len(first)
 
     def batches(self, rows: int) -> Iterator[pa.RecordBatch]:
         self.compact()
-        for h, tag, n in self.parts:
+        for h, tag, n, low, high, spot in self.parts:
+            columns = (h.view(np.int64), tag, n.astype(np.int64), low.view(np.int32), high.view(np.int32), spot)
             for at in range(0, len(h), rows):
-                cut = slice(at, at + rows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[cut].view(np.int64)), pa.array(tag[cut]), pa.array(n[cut].astype(np.int64))], ["h", "tag", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[at: at + rows]) for c in columns], [f.split()[0] for f in _COUNTED.split(", ")])
         self.parts, self.held = [], 0
 
 
+def _added_up(counted: DataFrame) -> DataFrame:
+    return counted.groupBy("h", "tag").agg(
+        F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("spot").alias("spot"))
+
+
 def _scan(shard: DataFrame, table, step: int, shards: int, sizes: list[int]) -> DataFrame:
-    """(h, tag, n): counts of the active phrases of ``sizes`` in a shard. tag: 8 * first step + size."""
+    """``_COUNTED`` of the active phrases of ``sizes`` in a shard. tag: 8 * first step + size.
+
+    In the first cycle also the words of each language, as phrases of size 0.
+    """
     held, rows = HELD, BATCH_ROWS
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reached = _unpacked(table.value)
 
-        def active(h: np.ndarray) -> np.ndarray:
-            since = reached[_slot(h, reached)].astype(np.int16) + 1
+        def active(h: np.ndarray, size: int) -> np.ndarray:
+            since = reached[_slot(h, reached, size)].astype(np.int16) + 1
             since[since > step] = NEVER + 1
             return since
 
@@ -176,73 +206,168 @@ def _scan(shard: DataFrame, table, step: int, shards: int, sizes: list[int]) ->
         for batch in batches:
             for part in slices(batch):
                 words = words_of(part)
+                spots = part.column("row").to_numpy()
                 _, lang, hashes = _languages(part)
                 start = hashes[lang[words.text]] if len(words.text) else words.hash
-                for size, _, h, since in _phrases(words, start, max(sizes), active):
+                if 1 in sizes:
+                    n = np.bincount(words.text, minlength=part.num_rows)
+                    tally.add(hashes[lang], np.zeros(len(n), np.int32), n, np.zeros(len(n), np.uint32), spots)
+                for size, at, h, second, since in _phrases(words, start, max(sizes), active):
                     if size in sizes:
                         now = since + shards > step
-                        tally.add(h[now], since[now].astype(np.int32) * 8 + size)
+                        tag = since[now].astype(np.int32) * 8 + size
+                        tally.add(h[now], tag, np.ones(len(tag), np.int64), second[now], spots[words.text[at[now]]])
                 if tally.held > held:
                     tally.compact()
                     if tally.held > held // 2:
                         yield from tally.batches(rows)
         yield from tally.batches(rows)
 
-    return shard.select("lang", "text").mapInArrow(work, "h long, tag int, n long")
+    return shard.select("lang", "text", "row").mapInArrow(work, _COUNTED)
+
+
+def _pairs_only(sharded: DataFrame, table) -> DataFrame:
+    """The texts cut down to runs of words in which all neighbours are reached pairs, a line each."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reached = _unpacked(table.value)
+        for batch in batches:
+            for part in slices(batch):
+                words = words_of(part)
+                _, lang, hashes = _languages(part)
+                start = hashes[lang[words.text]] if len(words.text) else words.hash
+                *_, (_, at, h, _, _) = _phrases(words, start, 2, lambda h, size: np.where(reached[_slot(h, reached, size)] != NEVER, 0, NEVER + 1).astype(np.int16))
+                at = at[reached[_slot(h, reached, 2)] != NEVER]
+                joined = np.zeros(len(words.text) + 1, bool)
+                joined[at] = True
+                kept = np.flatnonzero(joined[:-1] | np.r_[False, joined[:-2]][: len(words.text)])
+                strings = words.strings.to_pylist()
+                texts: list[list[bytes]] = [[] for _ in range(part.num_rows)]
+                for i, w, more in zip(words.text[kept].tolist(), words.which[kept].tolist(), joined[kept].tolist()):
+                    texts[i] += (strings[w], b" " if more else b"\n")
+                left = pa.array([b"".join(t) for t in texts], pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([part.column("lang"), left, part.column("row"), part.column("shard")], ["lang", "text", "row", "shard"])
+
+    return sharded.select("lang", "text", "row", "shard").mapInArrow(work, _SHARDED).where("text != ''")
+
+
+_SHARDED = "lang string, text string, row long, shard int"
+
+
+def _by_shard(rows: DataFrame) -> DataFrame:
+    path = new_folder(rows.sparkSession, "shards")
+    rows.write.partitionBy("shard").option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(_SHARDED).parquet(path)
 
 
 def _sharded(docs: DataFrame, shards: int, text_col: str, lang_col: str) -> DataFrame:
-    """(lang, text, shard) as a table cut by shard: rows are dealt by their place, not their values."""
+    """``_SHARDED`` as a table cut by shard: rows are dealt by their place, not their values."""
     rows = docs.select(
         F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
-        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int").alias("shard"))
-    path = new_folder(docs.sparkSession, "shards")
-    rows.write.partitionBy("shard").option("compression", "zstd").parquet(path)
-    return docs.sparkSession.read.schema("lang string, text string, shard int").parquet(path)
+        F.monotonically_increasing_id().alias("row"))
+    return _by_shard(rows.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")))
 
 
 def _slots(phrases: DataFrame):
     """(size, slot) of phrases, at most one row per slot and size."""
-    return phrases.select((F.col("tag") % 8).cast("byte").alias("size"), F.shiftrightunsigned("h", 64 - SLOT_BITS).cast("int").alias("slot")).distinct()
+    size, eighth = F.col("tag") % 8, (1 << SLOT_BITS) // 8
+    high = F.shiftrightunsigned("h", 64 - (SLOT_BITS - 3)).cast("int") if eighth > 1 else F.lit(0)
+    return phrases.select(size.cast("byte").alias("size"), (size * eighth + high).cast("int").alias("slot")).distinct()
 
 
-def frequent_hashes(sharded: DataFrame, shards: int, least: int) -> np.ndarray:
-    """Marks the slots of all phrases of up to ``LONGEST`` words that can occur ``least`` times.
+def frequent_hashes(sharded: DataFrame, shards: int, least: int) -> tuple[DataFrame | None, np.ndarray]:
+    """``_COUNTED`` of all phrases of up to ``LONGEST`` words counted ``least`` times, and marks on their slots.
 
-    One step per shard and cycle; see the head of the module.
+    One step per shard and cycle; see the head of the module. Rows of size 0 hold all words.
     """
     spark = sharded.sparkSession
     reached = np.full(1 << SLOT_BITS, NEVER, np.uint8)
     wanted = np.zeros(1 << SLOT_BITS, bool)
     #: The last step at which a phrase of each size got its slot; longer ones may begin after it.
     last = {size: -1 for size in range(LONGEST)}
-    running, step = None, 0
+    scanned, running, done, step = sharded, None, [], 0
     while True:
         sizes = [s for s in range(1, LONGEST + 1) if (step < shards if s == 1 else last[s - 1] >= 0 and step <= last[s - 1] + shards)]
         if not sizes or step >= NEVER:
             break
         table = spark.sparkContext.broadcast(_packed(reached))
-        counted = _scan(sharded.where(F.col("shard") == step % shards), table, step, shards, sizes)
+        if scanned is sharded and min(sizes) > 2:
+            scanned = _by_shard(_pairs_only(sharded, table))
+        counted = _scan(scanned.where(F.col("shard") == step % shards), table, step, shards, sizes)
         if running is not None:
             counted = running.where((F.shiftright("tag", 3) + shards) > step).union(counted)
-        tally = written(counted.groupBy("h", "tag").agg(F.sum("n").alias("n")), "tally")
-        found = _slots(tally.where(F.col("n") >= least)).toArrow()  # at most a row per slot and size
+        tally = written(_added_up(counted), "tally")
+        often = F.col("n") >= least
+        found = _slots(tally.where(often & (F.col("tag") % 8 > 0))).toArrow()  # at most a row per slot and size
         size, slot = (found.column(c).to_numpy() for c in ("size", "slot"))
         wanted[slot] = True
         for s in range(1, LONGEST):
             new = slot[size == s]
-            new = new[reached[new] == NEVER]
-            if len(new):
+            if (reached[new] == NEVER).any():
                 last[s] = step
         fresh = slot[(size < LONGEST) & (reached[slot] == NEVER)]
         reached[fresh] = step
+        over = (F.shiftright("tag", 3) + shards) <= step + 1
+        done.append(written(tally.where(over & (often | (F.col("tag") == 0))), "frequent"))
         if running is not None:
             dropped(running)
         table.destroy()
         running, step = tally, step + 1
     if running is not None:
         dropped(running)
-    return wanted
+    if scanned is not sharded:
+        dropped_tree(scanned)
+    whole = None
+    for part in done:
+        whole = part if whole is None else whole.union(part)
+    return whole, wanted
+
+
+def dropped_tree(table: DataFrame) -> None:
+    """Delete a table cut by shard."""
+    spark = table.sparkSession
+    for folder in {f.rpartition("/shard=")[0] for f in table.inputFiles()}:
+        if "/corpus/" in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _worded(sharded: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(lang, size, phrase, n) of counted phrases, their words read from the rows they were seen in."""
+    seen = frequent.groupBy("spot").agg(F.collect_list(F.struct("h", "tag", "n")).alias("wanted"))
+    size = frequent.count() * 32
+    rows = sharded.select("lang", "text", "row").join(F.broadcast(seen) if size <= BROADCAST_BYTES else seen, F.col("row") == F.col("spot"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                words = words_of(part)
+                names, lang, hashes = _languages(part)
+                strings = words.strings.to_pylist()
+                bounds = np.searchsorted(words.text, np.arange(part.num_rows + 1))
+                out: list[tuple] = []
+                for i, wanted in enumerate(part.column("wanted").to_pylist()):
+                    name, own = names[lang[i]], words.hash[bounds[i]: bounds[i + 1]]
+                    follows, which = words.follows[bounds[i]: bounds[i + 1]], words.which[bounds[i]: bounds[i + 1]]
+                    by_size: dict[int, dict[int, int]] = {}
+                    for w in wanted:
+                        by_size.setdefault(w["tag"] % 8, {})[w["h"]] = w["n"]
+                    out += [(name, 0, b"", n) for n in by_size.pop(0, {}).values()]
+                    h, at = hashes[lang[i: i + 1]] * _STEP + own, np.arange(len(own))
+                    for length in range(1, max(by_size, default=0) + 1):
+                        if length > 1:
+                            both = np.flatnonzero((at[1:] == at[:-1] + 1) & (follows[at[:-1]] if length == 2 else True))
+                            at = at[both]
+                            h = h[both] * _STEP + own[at + length - 1]
+                        sought = by_size.get(length, {})
+                        signed, places = np.unique(h.view(np.int64), return_index=True)
+                        for j in np.flatnonzero(np.isin(signed, np.fromiter(sought, np.int64, len(sought)))).tolist():
+                            first = int(at[places[j]])
+                            out.append((name, length, b" ".join(strings[w] for w in which[first: first + length]), sought[int(signed[j])]))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.int32()),
+                    pa.array([r[2] for r in out], pa.binary()).cast(pa.string()), pa.array([r[3] for r in out], pa.int64())], ["lang", "size", "phrase", "n"])
+
+    return rows.select("lang", "text", "wanted").mapInArrow(work, COUNTS)
 
 
 COUNTS = "lang string, size int, phrase string, n long"
@@ -275,11 +400,11 @@ def _recount(sharded: DataFrame, wanted: np.ndarray) -> DataFrame:
                     counts[names[i], 0, b""] = counts.get((names[i], 0, b""), 0) + n
                 start = hashes[of] if len(of) else words.hash
 
-                def active(h: np.ndarray) -> np.ndarray:
-                    return np.where(marked[_slot(h, marked)], 0, NEVER + 1).astype(np.int16)
+                def active(h: np.ndarray, size: int) -> np.ndarray:
+                    return np.where(marked[_slot(h, marked, size)], 0, NEVER + 1).astype(np.int16)
 
-                for size, at, h, _ in _phrases(words, start, LONGEST, active):
-                    at = at[marked[_slot(h, marked)]]
+                for size, at, h, _, _ in _phrases(words, start, LONGEST, active):
+                    at = at[marked[_slot(h, marked, size)]]
                     # Distinct phrases of the slice by their distinct words, which no hash stands for.
                     rows = np.stack([of[at], *(words.which[at + k] for k in range(size))])
                     order = np.lexsort(rows[::-1])
@@ -303,9 +428,14 @@ def frequent_phrases(docs: DataFrame, least: int = 100, shards: int = SHARDS, te
     if not 1 <= shards <= 50:
         raise ValueError("shards is 1 to 50")
     sharded = _sharded(docs, shards, text_col, lang_col)
-    counted = _recount(sharded, frequent_hashes(sharded, shards, least))
+    frequent, wanted = frequent_hashes(sharded, shards, least)
+    if frequent.where("low != high").isEmpty():
+        counted = _worded(sharded, frequent)
+    else:  # two phrases of one hash
+        counted = _recount(sharded, wanted)
     found = written(counted.where((F.col("n") >= least) | (F.col("size") == 0)), "phrases")
-    dropped(sharded)
+    dropped(frequent)
+    dropped_tree(sharded)
     return found
 
 
