@@ -40,8 +40,8 @@ def test_against_numpy(spark, shape, distributed):
 @pytest.mark.parametrize("shape", ["few_values", "heavy_tail", "hot_value"])
 def test_narrow_brackets(spark, monkeypatch, shape):
     """With a coarse sketch even small inputs go through real brackets and slices."""
-    monkeypatch.setattr(Q, "_ACCURACY", 50)
-    monkeypatch.setattr(Q, "_MARGIN", 4.0 / 50)
+    monkeypatch.setattr(Q, "_SKETCH", 128)
+    monkeypatch.setattr(Q, "_MARGIN", 0.15)
     monkeypatch.setattr(Q, "_SMALL_GROUP", 200)
     monkeypatch.setattr(Q, "_SLICES", 8)
     values = SHAPES[shape]
@@ -110,17 +110,58 @@ def test_rows_are_not_shuffled_for_few_groups(spark):
 
 
 def test_distributed_plan_reads_twice(spark):
-    """One pass for the sketch, one shared by everything after it."""
+    """One read for the sketch, when the plan is made; one shared by everything after it."""
     df = spark.read.parquet("/root/testdata/sf0.01/events.parquet").select(F.hour("ts").alias("hour"), "value")
     found = Q.exact_quantiles(df, "value", [0.25, 0.75], ["hour"], distributed=True)
     found.collect()
     plan = found._jdf.queryExecution().executedPlan().toString()
     final = plan[: plan.index("Initial Plan")]
-    assert final.count("FileScan") == 2
+    assert final.count("FileScan") == 1
     assert "ReusedExchange" in final
     assert "CartesianProduct" not in final and "NestedLoop" not in final
 
 
+def reads(found) -> int:
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.index("Initial Plan")]
+    return final.count("FileScan")
+
+
+def test_summaries_and_columns_read_twice(spark):
+    from tidewatch.operators import quality
+
+    df = spark.read.parquet("/root/testdata/sf0.01/events.parquet").select(F.hour("ts").alias("hour"), "value")
+    assert reads(Q.grouped_summary(df, ["hour"], "value", {"median": 0.5}, [F.avg("value").alias("mean")])) == 1
+    lines = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
+    columns = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    summary = quality.outlier_summary(lines, columns)
+    text = summary._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in text
+    found = summary.collect()
+    assert len(found) == 4
+
+
+@pytest.mark.parametrize("shape", sorted(SHAPES))
+@pytest.mark.parametrize("coarse", [True, False])
+def test_columns_against_numpy(spark, monkeypatch, shape, coarse):
+    if coarse:
+        monkeypatch.setattr(Q, "_SKETCH", 128)
+        monkeypatch.setattr(Q, "_MARGIN", 0.15)
+        monkeypatch.setattr(Q, "_SMALL_GROUP", 200)
+    values = np.asarray(SHAPES[shape], float)
+    df = spark.createDataFrame([(float(v), None if i % 3 else float(v), None) for i, v in enumerate(values)], "a double, b double, c double").repartition(4)
+    found = {r["column"]: r for r in Q.column_quantiles(df, ["a", "b", "c"], [0.25, 0.75], 1.5).collect()}
+    assert found.keys() == {"a", "b"}
+    for name, x in (("a", values), ("b", values[::3])):
+        q1, q3 = np.quantile(x, [0.25, 0.75])
+        row, lower, upper = found[name], q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+        assert (row["n"], row["min"], row["max"]) == (len(x), x.min(), x.max())
+        assert row["q"] == pytest.approx([q1, q3], rel=1e-12)
+        assert row["outside"] == ((x < row["lower"]) | (x > row["upper"])).sum()
+        assert (row["lower"], row["upper"]) == pytest.approx((lower, upper), rel=1e-12)
+
+
 @pytest.mark.parametrize("distributed", [True, False])
 def test_grouped_summary(spark, distributed):
     df = frame(spark, range(10), [0] * 4 + [1] * 6)

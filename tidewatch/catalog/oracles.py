@@ -115,6 +115,12 @@ _MONTH_OF = (
 )
 
 
+_CSV_BACK = """SELECT row_ord, nullif(holiday, 'None') AS holiday, temp, rain_1h, snow_1h, CAST(clouds_all AS DOUBLE) AS clouds_all,
+  weather_main, CASE WHEN row_ord % 3 = 0 THEN '"' || weather_description || '"' || chr(10) || ', ' || CAST(row_ord AS VARCHAR)
+    ELSE weather_description END AS weather_description,
+  date_time, traffic_volume FROM raw"""
+
+
 def _raw_q(body: str) -> str:
     return f"WITH {_RAW}\n{body}"
 
@@ -478,6 +484,8 @@ def oracle_sql() -> dict[str, str]:
     sql = {
         "s1_scan_raw": _raw_q("""SELECT row_ord, nullif(holiday, 'None') AS holiday, temp, rain_1h, snow_1h,
   clouds_all, weather_main, weather_description, date_time, traffic_volume FROM raw"""),
+        "s1_read_csv": _raw_q(_CSV_BACK),
+        "s1_read_csv_gz": _raw_q(_CSV_BACK),
         "s7_preview": _raw_q("SELECT * FROM raw ORDER BY row_ord LIMIT 10"),
         "q1_describe": _raw_q(_describe()),
         "q2_outlier_summary": _obs_q(_outliers(

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,8 +25,10 @@ from tidewatch.operators import quality as Q
 from tidewatch.operators import regression as R
 from tidewatch.operators import segmentation as K
 from tidewatch.plans import cleaning, findings, training
+from tidewatch.session import shared_folder
 from tidewatch.sources import tables
-from tidewatch.sources.readers import preview
+from tidewatch.sources.readers import preview, read_raw_csv
+from tidewatch.sources.writers import write_rows
 
 CLEAN_COLUMNS = [
     S.ROW_ORD, *S.REQUIRED_COLUMNS, "temp_c", "hour", "day", "month", "year", "day_of_week",
@@ -54,6 +57,26 @@ def _scan(spark, folder):
     })
 
 
+def _csv_back(spark, folder, packed: bool):
+    """All events as raw records, written as CSV into the shared folder and read back.
+
+    Descriptions get line breaks and quotes, so that records span lines.
+    """
+    raw = _raw(spark, folder)
+    breaks = F.concat(F.lit('"'), F.col("weather_description"), F.lit('"\n, '), F.col(S.ROW_ORD).cast("string"))
+    texts = raw.select(
+        *[F.col(c) for c in S.REQUIRED_COLUMNS if c != "weather_description"],
+        F.when(F.col(S.ROW_ORD) % 3 == 0, breaks).otherwise(F.col("weather_description")).alias("weather_description"),
+        F.col(S.ROW_ORD).alias("number"))
+    path = f"{shared_folder(spark)}/tidewatch/{spark.sparkContext.applicationId}/csv-{uuid.uuid4()}"
+    write_rows(texts, path, "csv", compression="gzip" if packed else None)
+    back = read_raw_csv(spark, path)
+    numbers = {"temp", "rain_1h", "snow_1h", "clouds_all", S.TARGET}
+    return back.select(
+        F.col("number").cast("long").alias(S.ROW_ORD),
+        *[(F.col(c).cast("double") if c in numbers else F.col(c)).alias(c) for c in S.REQUIRED_COLUMNS])
+
+
 def _valid(spark, folder):
     return cleaning.parse(_raw(spark, folder)).transform(C.valid_rows)
 
@@ -175,9 +198,7 @@ def _segment_checks(spark, folder):
     """What must hold of any clustering; every column is 0 but the number of clusters."""
     fit = segments(spark, folder)
     complete = K.cluster_features(_obs(spark, folder)).agg(F.count(F.lit(1)).alias("complete"))
-    names = [f"z_{c}" for c in K.FEATURES]
-    assembled = VectorAssembler(inputCols=names, outputCol="features").transform(K.standardise(fit.rows))
-    pairs = fit.model.transform(assembled).groupBy("cluster", "prediction").agg(
+    pairs = fit.model.transform(K.standardise(fit.rows)).groupBy("cluster", "prediction").agg(
         F.count(F.lit(1)).alias("rows"), F.avg(S.TARGET).alias("mean"))
     order = Window.orderBy("cluster")
     steps = pairs.withColumn("before", F.lag("mean").over(order))  # one row per cluster
@@ -237,6 +258,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         # sources
         "s1_scan_raw": _scan,
+        "s1_read_csv": lambda s, d: _csv_back(s, d, packed=False),
+        "s1_read_csv_gz": lambda s, d: _csv_back(s, d, packed=True),
         "s7_preview": lambda s, d: preview(_raw(s, d)),
         # quality
         "q1_describe": lambda s, d: Q.describe_columns(_scan(s, d), S.REQUIRED_COLUMNS),

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations_with_replacement
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch import schema as S
@@ -60,31 +63,24 @@ def quantile_trend(
     rows = df.where(F.col(x).isNotNull() & F.col(target).isNotNull()).select(
         F.col(x).cast("double").alias("x"), F.col(target).cast("double").alias("y")
     )
-    # Only "how many, up to max_bins" matters. The distinct sketch reads few values as few
-    # (m values set at most m registers), so an estimate of twice max_bins proves there are
-    # more than max_bins; only below it are values counted exactly, and then they are few.
-    estimate = rows.agg(F.approx_count_distinct("x").alias("estimate"))
-    few = rows.where(estimate.scalar() <= 2 * max_bins)
-    counted = with_row(estimate, few.agg(F.count_distinct("x").alias("exact"))).select(
-        F.when(F.col("estimate") > 2 * max_bins, F.lit(max_bins))
-        .otherwise(F.least("exact", F.lit(max_bins))).alias("bins")
-    )
-    sizes = list(range(min_distinct + 1, max_bins + 1))
-    probs = sorted({p for n in sizes for p in bin_probabilities(n)})
-    found = exact_quantiles(rows, "x", probs, distributed=distributed)
-
-    edges = F.lit(None).cast("array<double>")
-    for n in sizes:
-        wanted = F.array(*[F.element_at("q", probs.index(p) + 1) for p in bin_probabilities(n)])
-        edges = F.when(F.col("bins") == n, F.array_distinct(wanted)).otherwise(edges)
-    edge_row = with_row(found.select("q"), counted).select(edges.alias("edges"))
+    # Only "how many, up to max_bins" matters. The distinct sketch reads few values as few, so an
+    # estimate of twice max_bins proves there are more; only below it are values counted exactly,
+    # and then they are few.
+    distinct = rows.agg(F.approx_count_distinct("x").alias("n")).first()["n"]
+    if distinct <= 2 * max_bins:
+        distinct = rows.select("x").distinct().count()
+    bins = min(distinct, max_bins)
+    if bins <= min_distinct:
+        return rows.limit(0).select(F.lit(1).alias("bin"), F.col("x").alias("mean_x"), F.col("y").alias("mean_y"), F.lit(0).cast("long").alias("n"))
+    found = exact_quantiles(rows, "x", bin_probabilities(bins), distributed=distributed)
+    edge_row = found.select(F.array_distinct("q").alias("edges"))
     below = [
         F.coalesce((F.get("edges", F.lit(i)) < F.col("x")).cast("int"), F.lit(0))
-        for i in range(max_bins + 1)
+        for i in range(bins + 1)
     ]
     bin_id = F.greatest(sum(below[1:], below[0]), F.lit(1))
     return (
-        with_row(rows.where(counted.scalar() > min_distinct), edge_row)
+        with_row(rows, edge_row)
         .groupBy(bin_id.alias("bin"))
         .agg(
             F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y"), F.count(F.lit(1)).alias("n")
@@ -92,23 +88,86 @@ def quantile_trend(
     )
 
 
+_STATE = ["n", "mx", "my", "xx", "yy", "xy", "lox", "hix", "loy", "hiy"]
+
+
+def _block_state(x: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Central moments and ranges of the column pairs (left, right) of a block, NaN for absent values.
+
+    Sums of all pairs come from a few matrix products of values, squares and presence. Values are
+    shifted by their column's mean in the block first, so that nothing large cancels.
+    """
+    present = ~np.isnan(x)
+    there = present.astype(float)
+    shift = np.where(present, x, 0.0).sum(axis=0) / np.maximum(there.sum(axis=0), 1)
+    v = np.where(present, x - shift, 0.0)
+    n = (there.T @ there)[left, right]
+    whole = np.maximum(n, 1)
+    sums, squares = v.T @ there, (v * v).T @ there
+    mx, my = sums[left, right] / whole, sums[right, left] / whole
+    xx = squares[left, right] - whole * mx * mx
+    yy = squares[right, left] - whole * my * my
+    xy = (v.T @ v)[left, right] - whole * mx * my
+    low, high = (np.full((x.shape[1], x.shape[1]), fill) for fill in (np.inf, -np.inf))
+    for j in range(x.shape[1]):  # the range of every column where column j is present
+        rows = x[present[:, j]]
+        if len(rows):
+            low[:, j] = np.fmin.reduce(rows, axis=0, initial=np.inf)
+            high[:, j] = np.fmax.reduce(rows, axis=0, initial=-np.inf)
+    return np.array([
+        n, mx + shift[left], my + shift[right], xx, yy, xy,
+        low[left, right], high[left, right], low[right, left], high[right, left]])
+
+
+def _merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The state of two blocks together."""
+    n = a[0] + b[0]
+    whole = np.maximum(n, 1)
+    dx, dy, weight = b[1] - a[1], b[2] - a[2], a[0] * b[0] / whole
+    out = np.array([
+        n, a[1] + dx * b[0] / whole, a[2] + dy * b[0] / whole,
+        a[3] + b[3] + dx * dx * weight, a[4] + b[4] + dy * dy * weight, a[5] + b[5] + dx * dy * weight,
+        np.minimum(a[6], b[6]), np.maximum(a[7], b[7]), np.minimum(a[8], b[8]), np.maximum(a[9], b[9])])
+    return np.where(b[0] == 0, a, np.where(a[0] == 0, b, out))
+
+
 def correlation_matrix(df: DataFrame, columns=tuple(S.CORRELATION_COLUMNS)) -> DataFrame:
     """Pearson r of every pair of columns, each over rows where both are present.
 
-    Rows (a, b, r) for the full square; null where r is undefined. A row is unrolled into its
-    column pairs and reduced to one state per pair before the exchange. That stays inside
-    generated code, which hundreds of aggregates side by side do not.
+    Rows (a, b, r) for the full square; null where r is undefined. The input is read once and no
+    row is multiplied: a task reduces its Arrow batches to one state per pair by matrix products,
+    and only these states are shuffled. NaN counts as absent.
     """
     columns = list(columns)
     pairs = list(combinations_with_replacement(range(len(columns)), 2))
-    unrolled = df.select(F.inline(F.array(*[
-        F.struct(
-            F.lit(p).alias("pair"), F.col(columns[i]).cast("double").alias("x"),
-            F.col(columns[j]).cast("double").alias("y"),
-        )
-        for p, (i, j) in enumerate(pairs)
-    ]))).where("x IS NOT NULL AND y IS NOT NULL")
-    found = unrolled.groupBy("pair").agg(pearson("x", "y", complete=True).alias("r"))
+    left, right = (np.array(side) for side in zip(*pairs))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = np.zeros((len(_STATE), len(pairs)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 16_384):
+                part = batch.slice(at, 16_384)
+                x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in part.columns])
+                state = _merged(state, _block_state(x, left, right))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(len(pairs), dtype=np.int32)), *(pa.array(s) for s in state)], ["pair", *_STATE])
+
+    plain = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    states = plain.mapInArrow(work, ", ".join(["pair int", *(f"{s} double" for s in _STATE)])).where("n > 0")
+    # States of all tasks, merged around the mean of all of them.
+    everyone = Window.partitionBy("pair")
+    total = F.sum("n").over(everyone)
+    centred = states.withColumns({
+        "dx": F.col("mx") - F.sum(F.col("n") * F.col("mx")).over(everyone) / total,
+        "dy": F.col("my") - F.sum(F.col("n") * F.col("my")).over(everyone) / total,
+    })
+
+    def moment(name: str, a: str, b: str):
+        return F.sum(F.col(name) + F.col("n") * F.col(a) * F.col(b))
+
+    constant = (F.min("lox") == F.max("hix")) | (F.min("loy") == F.max("hiy"))
+    size = F.sqrt(moment("xx", "dx", "dx")) * F.sqrt(moment("yy", "dy", "dy"))
+    found = centred.groupBy("pair").agg(F.when(~constant, moment("xy", "dx", "dy") / F.nullif(size, F.lit(0.0))).alias("r"))
     names = df.sparkSession.range(0, len(pairs), numPartitions=1).select(
         F.col("id").cast("int").alias("pair"),
         pick([columns[i] for i, _ in pairs], F.col("id").cast("int")).alias("a"),

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch import schema as S
-from tidewatch.functions.attach import by_group
-from tidewatch.functions.quantiles import exact_quantiles
+from tidewatch.functions.attach import with_row
+from tidewatch.functions.quantiles import column_quantiles
 from tidewatch.functions.scalars import days_between, round_to
 
 
@@ -74,42 +74,39 @@ def outlier_summary(
 ) -> DataFrame:
     """Per numeric column: range, interquartile fences, values strictly outside and their share.
 
-    Columns that are absent or hold only nulls give no row. Two passes: quartiles, then counts
-    against the broadcast fences (one row per column).
+    Columns that are absent or hold only nulls give no row. All columns are done by the same two
+    reads: sketches, then the values around quartiles and fences.
     """
     columns = [c for c in columns if c in df.columns]
     if not columns:
         return df.sparkSession.createDataFrame([], OUTLIER_SCHEMA)
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        [], columns, "column", "value"
-    )
-    quartiles = exact_quantiles(
-        long, "value", [0.25, 0.75], ["column"], bound=len(columns), distributed=distributed
-    )
-    q1, q3 = F.col("q")[0], F.col("q")[1]
-    fences = quartiles.select(
-        "column",
-        (q1 - multiplier * (q3 - q1)).alias("lower_fence"),
-        (q3 + multiplier * (q3 - q1)).alias("upper_fence"),
-    )
-    rows = by_group(
-        long.where("value IS NOT NULL"), fences, ["column"], how="inner", bound=len(columns)
-    )
-    outside = (F.col("value") < F.col("lower_fence")) | (F.col("value") > F.col("upper_fence"))
-    counted = rows.groupBy("column", "lower_fence", "upper_fence").agg(
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        F.count_if(outside).alias("outliers"),
-        F.count(F.lit(1)).alias("__n"),
-    )
-    return counted.select(
+    if distributed:
+        found = column_quantiles(df, columns, [0.25, 0.75], multiplier)
+    else:
+        found = _outliers_by_percentile(df, columns, multiplier)
+    return found.select(
         "column",
-        *[round_to(c, 2).alias(c) for c in ("min", "max", "lower_fence", "upper_fence")],
-        "outliers",
-        round_to(F.lit(100.0) * F.col("outliers") / F.col("__n"), 2).alias("outlier_pct"),
+        *[round_to(c, 2).alias(n) for c, n in (("min", "min"), ("max", "max"), ("lower", "lower_fence"), ("upper", "upper_fence"))],
+        F.col("outside").alias("outliers"),
+        round_to(F.lit(100.0) * F.col("outside") / F.col("n"), 2).alias("outlier_pct"),
     )
 
 
+def _outliers_by_percentile(df: DataFrame, columns: list[str], multiplier: float) -> DataFrame:
+    """The same from ``percentile``, for columns known to hold few values: one aggregate each."""
+    wide = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    quartiles = F.array(F.lit(0.25), F.lit(0.75))
+    facts = with_row(wide, wide.agg(*[F.percentile(c, quartiles).alias(f"__q_{c}") for c in columns]))
+    entries = []
+    for c in columns:
+        q1, q3 = F.col(f"__q_{c}")[0], F.col(f"__q_{c}")[1]
+        lower, upper = q1 - multiplier * (q3 - q1), q3 + multiplier * (q3 - q1)
+        entries.append(F.struct(
+            F.lit(c).alias("column"), F.count(c).alias("n"), F.min(c).alias("min"), F.max(c).alias("max"),
+            F.max(lower).alias("lower"), F.max(upper).alias("upper"), F.count_if((F.col(c) < lower) | (F.col(c) > upper)).alias("outside")))
+    return facts.agg(F.array(*entries).alias("entries")).select(F.inline("entries")).where("n > 0")
+
+
 def hour_edges(df: DataFrame, *extra, time: str = S.TIME) -> DataFrame:
     """First and last record of every clock hour, with optional further aggregates.
 

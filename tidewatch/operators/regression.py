@@ -17,9 +17,10 @@ from pyspark.sql import types as T
 
 from tidewatch import schema as S
 from tidewatch.functions.attach import with_row
-from tidewatch.functions.quantiles import exact_quantiles
+from tidewatch.functions.quantiles import column_quantiles
 from tidewatch.functions.sampling import bounded_sample
 from tidewatch.functions.scalars import ntz, round_to
+from tidewatch.session import cut_lineage, release
 
 # The inputs of the models.
 CATEGORICAL = ["hour", "day_of_week", "month", "weather_main"]
@@ -60,22 +61,44 @@ def _bucket_at(df: DataFrame, bucket: Column, rank) -> dict | None:
     return row.asDict() if row else None
 
 
-def _order_steps(df: DataFrame) -> list[Column]:
-    """``row_ord`` as a sequence of buckets, coarse to fine, each of a bounded number."""
+def _far_bucket_at(df: DataFrame, bucket: Column, rank: int) -> dict:
+    """As :func:`_bucket_at` for buckets of any number, such as file names.
+
+    A prefix sum in parts: buckets are dealt by ranges to tasks and stored, the totals of the
+    ranges (one number each) tell which range holds the rank, and the running total goes over
+    that range alone.
+    """
+    counts = df.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut_lineage(counts.repartitionByRange(ranges, "bucket").withColumn("range", F.spark_partition_id()))
+    before = 0
+    for row in dealt.groupBy("range").agg(F.sum("n").alias("n")).orderBy("range").collect():  # one per range
+        if before + row["n"] > rank:
+            break
+        before += row["n"]
+    running = F.sum("n").over(Window.partitionBy("range").orderBy("bucket")) - F.col("n") + before
+    inside = dealt.where(F.col("range") == row["range"]).withColumn("before", running)
+    found = inside.where((F.col("before") <= rank) & (rank < F.col("before") + F.col("n"))).first().asDict()
+    release(dealt)
+    return found
+
+
+def _order_steps(df: DataFrame) -> list[tuple[Column, bool]]:
+    """``row_ord`` as a sequence of buckets, coarse to fine, and whether their number is bounded."""
     kind = df.schema[S.ROW_ORD].dataType
     parts = [F.col(f"{S.ROW_ORD}.{f.name}") for f in kind] if isinstance(kind, T.StructType) else [F.col(S.ROW_ORD)]
     kinds = [f.dataType for f in kind] if isinstance(kind, T.StructType) else [kind]
     steps = []
     for part, of in zip(parts, kinds):
         whole = isinstance(of, T.IntegralType)
-        steps += [F.shiftright(part.cast("long"), bits) for bits in (40, 20)] * whole + [part]
+        steps += [(F.shiftright(part.cast("long"), bits), True) for bits in (40, 20)] * whole + [(part, whole)]
     return steps
 
 
 def _row_at(df: DataFrame, rank: int):
     """``row_ord`` of the row at 0-based ``rank`` of its order; equal ones are one row here."""
-    for step in _order_steps(df):
-        found = _bucket_at(df, step, rank)
+    for step, bounded in _order_steps(df):
+        found = (_bucket_at if bounded else _far_bucket_at)(df, step, rank)
         df, rank = df.where(step == F.lit(found["bucket"])), rank - found["before"]
     return df.select(F.min(S.ROW_ORD)).first()[0], rank
 
@@ -151,16 +174,39 @@ def split_facts(labelled: DataFrame, time: str = S.TIME) -> DataFrame:
 def impute_values(train: DataFrame, *, distributed=True) -> DataFrame:
     """One row: most frequent value per categorical column (smallest on ties), exact median
     per numeric column. Learned from the rows given, so pass the training part only."""
-    modes = train.agg(*[F.mode(c, True).alias(c) for c in CATEGORICAL])
-    long = train.select(*NUMERIC).unpivot([], NUMERIC, "column", "value")
-    medians = exact_quantiles(
-        long, "value", [0.5], ["column"], bound=len(NUMERIC), distributed=distributed
-    )
+    if distributed:
+        medians = column_quantiles(train, NUMERIC, [0.5]).select("column", F.col("q")[0].alias("median"))
+    else:
+        wide = train.agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c) for c in NUMERIC])
+        medians = wide.unpivot([], NUMERIC, "column", "median")
     wide = medians.agg(*[
-        F.coalesce(F.max(F.when(F.col("column") == c, F.col("q")[0])), F.lit(0.0)).alias(c)
+        F.coalesce(F.max(F.when(F.col("column") == c, F.col("median"))), F.lit(0.0)).alias(c)
         for c in NUMERIC
     ])
-    return with_row(modes, wide)
+    return with_row(modes(train, CATEGORICAL), wide)
+
+
+def modes(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: the most frequent value of each column, the smallest on ties, null without values.
+
+    One read counts the combinations of all columns; only these counts are turned into rows per
+    column and added up, both times combined on the map side and spilled where there are many, so
+    neither a column of all-distinct values nor one hot value is held by a task.
+    """
+    cells = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n"))
+    typed = [F.lit(None).cast(df.schema[c].dataType) for c in columns]
+    entries = [
+        F.struct(F.lit(i).alias("i"), *[(F.col(c) if j == i else typed[j]).alias(f"c{j}") for j, c in enumerate(columns)])
+        for i in range(len(columns))
+    ]
+    long = cells.select("__n", F.inline(F.array(*entries)))
+    names = [f"c{j}" for j in range(len(columns))]
+    counts = long.groupBy("i", *names).agg(F.sum("__n").alias("n"))
+    best = [
+        F.min(F.when((F.col("i") == j) & F.col(c).isNotNull(), F.struct((-F.col("n")).alias("n"), F.col(c).alias("v"))))["v"].alias(columns[j])
+        for j, c in enumerate(names)
+    ]
+    return counts.agg(*best)
 
 
 def scale_values(train: DataFrame, fills: dict) -> DataFrame:

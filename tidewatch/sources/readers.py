@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from tidewatch import schema as S
 from tidewatch.functions.scalars import blank_missing
+from tidewatch.sources import records
 
 
 def read_raw_csv(
-    spark: SparkSession, path: str, *, multiline: bool = True, partitions: int | None = None, verify: bool = True
+    spark: SparkSession, path: str, *, multiline: bool = True, parallel: bool = True, partitions: int | None = None,
+    verify: bool = True,
 ) -> DataFrame:
     """CSV or gzip CSV with a header, every column as text, plus ``row_ord``.
 
@@ -22,19 +24,17 @@ def read_raw_csv(
     rebuilt after a shuffle. Gzip cannot be split, so such files arrive one task each; give
     ``partitions`` to spread them before heavy work.
 
-    A quoted text may hold line breaks; files known to have none are read in parallel blocks
-    with ``multiline=False``. Compressed files are read through once to see that they are whole
-    (``verify=False`` trusts them), so damage anywhere in a file is an error that names it.
+    A quoted text may hold line breaks. Such files are read in parallel blocks all the same
+    (see :mod:`tidewatch.sources.records`), after one pass that counts quotes. Their quoting must
+    be regular: a quote inside a field that does not begin with one is an error that says so, and
+    ``parallel=False`` then reads each file in one task as its parser sees fit. Files known to have
+    no line breaks in texts are read without that pass by ``multiline=False``. Compressed files
+    are read through once to see that they are whole (``verify=False`` trusts them, where quotes
+    need not be counted), so damage anywhere in a file is an error that names it.
     """
+    options = {"header": True, "inferSchema": False, "escape": '"', "enforceSchema": False}  # headers must agree
     try:
-        df = (
-            spark.read.option("header", True)
-            .option("inferSchema", False)
-            .option("escape", '"')
-            .option("enforceSchema", False)  # every file's header must agree with the first
-            .option("multiLine", multiline)
-            .csv(path)
-        )
+        df = spark.read.options(**options, multiLine=multiline).csv(path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             raise _source_missing(path) from error
@@ -42,20 +42,26 @@ def read_raw_csv(
     except (Py4JJavaError, PySparkException) as error:
         raise ValueError(f"'{path}' cannot be read as CSV.") from error
     S.require_columns(df, S.REQUIRED_COLUMNS, f"file '{path}'")
-    packed = [name for name in df.inputFiles() if name.endswith(".gz")]
-    if verify and packed:
+    files = df.inputFiles()
+    packed = [name for name in files if name.endswith(".gz")]
+    if multiline and parallel and files:
         try:
-            spark.read.text(packed).agg(F.count(F.lit(1))).collect()
+            df = records.quoted_records(spark, path, df.columns, options["escape"])
         except (Py4JJavaError, PySparkException) as error:
-            raise ValueError(f"'{path}' cannot be read as CSV: a compressed file is damaged.") from error
-    names = df.columns
+            reason = "a compressed file is damaged." if packed else str(error)
+            raise ValueError(f"'{path}' cannot be read as CSV: {reason}") from error
+        place = F.struct("__file", "__block", "__line")
+    else:
+        if verify and packed:
+            try:
+                spark.read.text(packed).agg(F.count(F.lit(1))).collect()
+            except (Py4JJavaError, PySparkException) as error:
+                raise ValueError(f"'{path}' cannot be read as CSV: a compressed file is damaged.") from error
+        place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    names = [c for c in df.columns if not c.startswith("__")] if "__file" in df.columns else df.columns
     df = df.select(
         *[blank_missing(F.col(f"`{c}`")).alias(c) for c in names],
-        F.struct(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("line"),
-        ).alias(S.ROW_ORD),
+        place.cast("struct<file:string,block:bigint,line:bigint>").alias(S.ROW_ORD),
     )
     return df.repartition(partitions) if partitions else df
 

@@ -24,9 +24,10 @@ def write_clean(clean: DataFrame, path: str, mode: str = "overwrite") -> None:
     )
 
 
-def write_rows(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
+def write_rows(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", compression: str | None = None) -> None:
     """Store result rows as Parquet, or as CSV with a header for people to download."""
-    writer = df.write.mode(mode)
+    options = {"compression": compression} if compression else {}
+    writer = df.write.mode(mode).options(**options)
     if fmt != "csv":
         writer.format(fmt).save(path)
         return
@@ -38,4 +39,4 @@ def write_rows(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "over
             for f in df.schema
         ]
     )
-    flat.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    flat.write.mode(mode).options(**options).option("header", True).option("escape", '"').csv(path)
