@@ -634,6 +634,20 @@ SELECT cluster, count(*) AS observations, {_r('avg(traffic_volume)', 2)} AS avg_
 SELECT cluster, string_agg(printf('%02d:00', hour), ', ' ORDER BY hour) AS common_hours FROM (
   SELECT cluster, hour, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, hour) AS rn
   FROM complete GROUP BY 1, 2) WHERE rn <= 3 GROUP BY 1"""),
+        "f2_labels_fixed": _obs_q(f""", {_POINTS}, sums AS (
+  SELECT cluster, count(*) AS observations, {_r('avg(traffic_volume)', 2)} AS avg_traffic,
+    {_r(f"1e2 * {_r('avg(is_weekend)', 2)}", 1)} AS weekend_pct FROM complete GROUP BY 1
+), hours AS (
+  SELECT cluster, string_agg(printf('%02d:00', hour), ', ' ORDER BY hour) AS common_hours FROM (
+    SELECT cluster, hour, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, hour) AS rn
+    FROM complete GROUP BY 1, 2) WHERE rn <= 3 GROUP BY 1
+), rated AS (
+  SELECT *, avg_traffic / (SELECT avg(traffic_volume) FROM complete) AS ratio FROM sums JOIN hours USING (cluster)
+)
+SELECT cluster, observations, common_hours, concat(
+  CASE WHEN ratio >= 1.15 THEN 'High traffic' WHEN ratio <= 0.6 THEN 'Very low traffic' WHEN ratio <= 0.9 THEN 'Low traffic' ELSE 'Average traffic' END, ', ',
+  CASE WHEN weekend_pct >= 60 THEN 'mainly weekends' WHEN weekend_pct <= 15 THEN 'mainly weekdays' ELSE 'weekdays and weekends' END,
+  '; most often at ', common_hours) AS description FROM rated"""),
         "k5_points_fixed_labels": _obs_q(f""", {_POINTS}
 SELECT date_time, hour, {_r('traffic_volume')} AS traffic_volume, {_r('temp_c')} AS temp_c, {_r('clouds_all')} AS clouds_all,
   cluster, CASE is_weekend WHEN 0 THEN 'Weekday' ELSE 'Weekend' END AS day_type

@@ -371,6 +371,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "k3_summary": lambda s, d: K.cluster_summary(segments(s, d).rows),
         "k3_summary_fixed_labels": lambda s, d: K.cluster_summary(_fixed_labels(s, d)),
         "f2_cluster_labels": lambda s, d: segments(s, d).summary,
+        "f2_labels_fixed": lambda s, d: K.describe(_fixed_labels(s, d)).select(
+            "cluster", "observations", "common_hours", "description"
+        ),
         "f2_common_hours": lambda s, d: K.common_hours(_fixed_labels(s, d)),
         "k4_silhouette": lambda s, d: shown(K.silhouette(_fixed_labels(s, d))),
         "k4_silhouette_fit": lambda s, d: segments(s, d).silhouette,
