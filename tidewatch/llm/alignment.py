@@ -38,8 +38,8 @@ from tidewatch.llm.store import written
 #: Pairs whose counts every task holds (about 9 MB).
 HOT = 1 << 19
 #: Words whose pieces a worker remembers, and text it takes at a time.
-WORDS_KEPT = 400_000
-TEXT_BYTES = 2 << 20
+WORDS_KEPT = 250_000
+TEXT_BYTES = 1 << 19
 
 #: How a byte-level tokenizer cuts words (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
