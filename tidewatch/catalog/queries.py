@@ -217,7 +217,7 @@ def _segment_checks(spark, folder):
 
 
 def _linear_checks(spark, folder):
-    """Residuals of least squares are orthogonal to every feature: features for which they are not."""
+    """Residuals of least squares are orthogonal to every numeric and binary feature: features for which they are not."""
     fit = trained(spark, folder)
     linear = fit.models[R.LINEAR].transform(fit.split.train)
     error = F.col(S.TARGET) - F.col(R.MODELS[R.LINEAR])

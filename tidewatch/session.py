@@ -32,11 +32,14 @@ def build_session(app: str = "tidewatch", master: str | None = None, **conf) ->
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, as named by ``spark.checkpoint.dir``.
 
-    Where the session names none, a folder in its warehouse, which executors share as well. It
+    Where a local session names none, a folder in its warehouse; elsewhere that is an error. It
     is also made the session's checkpoint folder, for the fits that cut their own lineage.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(configured)
