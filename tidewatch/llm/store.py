@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; the warehouse folder where that is unset, as in tests."""
+    """``spark.checkpoint.dir`` of the session; the warehouse folder where a local one has none, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    master = spark.sparkContext.master
+    if not named and master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
