@@ -78,6 +78,18 @@ def test_shared_slots_lose_nothing(documents, monkeypatch, bits):
     assert sorted(as_set(collocations.mine(documents(rows), least=4), *COLUMNS)) == plain(rows, 4, 2000)
 
 
+def test_a_slot_reached_before_its_phrase(documents, monkeypatch):
+    """Many frequent pairs of few words fill the slots of pairs, rare words come late: whole cycles all the same."""
+    monkeypatch.setattr(collocations, "SLOT_BITS", 9)
+    rng = random.Random(1)
+    common = [f"c{i}" for i in range(8)]
+    rows = [(i, " ".join(rng.choice(common) for _ in range(120)), "en", "s") for i in range(90)]
+    rows += [(100 + i, f"r{i} " * 30, "en", "s") for i in range(12)]
+    expected = plain(rows, 20, 2000)
+    assert sum(r[2].startswith("r") for r in expected) > 20
+    assert sorted(as_set(collocations.mine(documents(rows), least=20), *COLUMNS)) == expected
+
+
 def test_phrases_of_one_hash_are_counted_by_their_words(documents, monkeypatch):
     """Where the second hash tells a clash, the last scan counts by words, whatever slots are marked."""
     import numpy as np

@@ -12,7 +12,8 @@ lengths are counted by the same scan, and a scan ends when every active phrase h
 A phrase is a 64-bit hash while it is counted, with the least and greatest of a second hash of 32
 bits and one row where it stands. The step from which subphrases are active stands in a table of
 ``2 ** SLOT_BITS`` slots that every task holds (32 MB, whatever the input). Phrases that share a
-slot can only be active earlier, never be missed. A task adds up its own counts before they are
+slot can only be active earlier, never be missed, and no earlier than their own subphrases, so
+that each has a whole cycle. A task adds up its own counts before they are
 shuffled; the running table holds one number per phrase whose cycle is not over, and phrases that
 ended below ``least`` leave it. When all phrases of two words have had their cycle, texts are cut
 down to the runs of words whose neighbours all are frequent pairs, as longer phrases consist of
@@ -118,13 +119,15 @@ def _phrases(words: Words, start: np.ndarray, longest: int, active) -> Iterator[
     none; only phrases with such a step are followed further.
     """
     at, h, second = np.arange(len(words.hash)), start * _STEP + words.hash, words.second
-    yield 1, at, h, second, np.zeros(len(at), np.int16)
+    since = np.zeros(len(at), np.int16)
+    yield 1, at, h, second, since
     for size in range(2, longest + 1):
         both = at[1:] == at[:-1] + 1
         if size == 2:
             both &= words.follows[at[:-1]]
         i = np.flatnonzero(both)
-        since = active(h, size - 1)
+        # A shared slot may be older than the phrase: nothing counts before what it is made of.
+        since = np.maximum(since, active(h, size - 1))
         since = np.maximum(since[i], since[i + 1])
         i, since = i[since <= NEVER], since[since <= NEVER]
         at, end = at[i], at[i] + size - 1
@@ -286,7 +289,7 @@ def frequent_hashes(sharded: DataFrame, shards: int, least: int) -> tuple[DataFr
     last = {size: -1 for size in range(LONGEST)}
     scanned, running, done, step = sharded, None, [], 0
     while True:
-        sizes = [s for s in range(1, LONGEST + 1) if (step < shards if s == 1 else last[s - 1] >= 0 and step <= last[s - 1] + shards)]
+        sizes = [s for s in range(1, LONGEST + 1) if (step < shards if s == 1 else last[s - 1] >= 0 and step <= max(last[k] for k in range(1, s)) + shards)]
         if not sizes or step >= NEVER:
             break
         table = spark.sparkContext.broadcast(_packed(reached))
