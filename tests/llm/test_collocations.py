@@ -90,6 +90,17 @@ def test_a_slot_reached_before_its_phrase(documents, monkeypatch):
     assert sorted(as_set(collocations.mine(documents(rows), least=20), *COLUMNS)) == expected
 
 
+def test_texts_cut_down_to_some_words():
+    import numpy as np
+    import pyarrow as pa
+
+    part = pa.RecordBatch.from_arrays([pa.array(["Aé  b,c", "", "d\te", "f", " 日 x."], pa.string())], ["text"])
+    words = collocations.words_of(part)
+    kept = np.array([0, 1, 3, 4, 5, 7])
+    joined = np.array([True, False, True, False, False, False])
+    assert collocations._cut_down(words, kept, joined).to_pylist() == ["aé b\n", "", "d e", "f", "x\n"]
+
+
 def test_phrases_of_one_hash_are_counted_by_their_words(documents, monkeypatch):
     """Where the second hash tells a clash, the last scan counts by words, whatever slots are marked."""
     import numpy as np

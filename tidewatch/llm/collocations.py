@@ -64,8 +64,12 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass
 class Words:
-    """The words of a slice of texts: their text, two hashes, the distinct word, and whether the next follows it."""
+    """The words of a slice of texts: their bytes, their text, two hashes, the distinct word, and whether the next follows it."""
 
+    data: np.ndarray
+    starts: np.ndarray
+    begins: np.ndarray
+    ends: np.ndarray
     text: np.ndarray
     hash: np.ndarray
     second: np.ndarray
@@ -88,7 +92,7 @@ def words_of(part: pa.RecordBatch) -> Words:
     strings, which = distinct(*packed_words(data, inside, begins, ends))
     raw = b"".join(map(xxhash.xxh3_128_digest, strings.to_pylist()))
     hashes = np.frombuffer(raw, np.uint64).reshape(-1, 2)
-    return Words(text, hashes[which, 0], hashes[which, 1].astype(np.uint32), follows, which, strings)
+    return Words(data, starts, begins, ends, text, hashes[which, 0], hashes[which, 1].astype(np.uint32), follows, which, strings)
 
 
 def _languages(part: pa.RecordBatch) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -229,6 +233,22 @@ def _scan(shard: DataFrame, table, step: int, shards: int, sizes: list[int]) ->
     return shard.select("lang", "text", "row").mapInArrow(work, _COUNTED)
 
 
+def _cut_down(words: Words, kept: np.ndarray, joined: np.ndarray) -> pa.Array:
+    """The texts with ``kept`` words alone, a space after a word that is ``joined`` to the next, else a line break."""
+    data, starts, ends = words.data.copy(), words.starts, words.ends[kept]
+    edges = np.zeros(len(data) + 1, np.int8)
+    edges[words.begins[kept]] += 1
+    edges[ends] -= 1
+    stays = np.cumsum(edges[:-1], dtype=np.int8).view(bool)
+    inner = ends < starts[words.text[kept] + 1]  # the last word of a text has no byte behind it
+    data[ends[inner]] = np.where(joined[inner], 0x20, 0x0A)
+    stays[ends[inner]] = True
+    before = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(stays, out=before[1:])
+    offsets, left = before[starts], np.ascontiguousarray(data[stays])
+    return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(left))
+
+
 def _pairs_only(sharded: DataFrame, table) -> DataFrame:
     """The texts cut down to runs of words in which all neighbours are reached pairs, a line each."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,11 +263,7 @@ def _pairs_only(sharded: DataFrame, table) -> DataFrame:
                 joined = np.zeros(len(words.text) + 1, bool)
                 joined[at] = True
                 kept = np.flatnonzero(joined[:-1] | np.r_[False, joined[:-2]][: len(words.text)])
-                strings = words.strings.to_pylist()
-                texts: list[list[bytes]] = [[] for _ in range(part.num_rows)]
-                for i, w, more in zip(words.text[kept].tolist(), words.which[kept].tolist(), joined[kept].tolist()):
-                    texts[i] += (strings[w], b" " if more else b"\n")
-                left = pa.array([b"".join(t) for t in texts], pa.binary()).cast(pa.string())
+                left = _cut_down(words, kept, joined[kept])
                 yield pa.RecordBatch.from_arrays([part.column("lang"), left, part.column("row"), part.column("shard")], ["lang", "text", "row", "shard"])
 
     return sharded.select("lang", "text", "row", "shard").mapInArrow(work, _SHARDED).where("text != ''")
