@@ -206,6 +206,12 @@ def test_no_saved_model(spark, tmp_path):
     assert training.load_model(spark, str(tmp_path / "none")) is None
 
 
+def test_test_rows_of_one_file_are_scored_by_many_tasks(series):
+    fit = training.train_and_evaluate(series.coalesce(1), trees=2, max_depth=2, partitions=4)
+    tasks = fit.scored.groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) == 4 and sum(r["count"] for r in tasks) == fit.split.rows - fit.split.train_rows
+
+
 def test_importances(fitted):
     fit = fitted[0]
     table = fit.importance().collect()
