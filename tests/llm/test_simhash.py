@@ -80,6 +80,13 @@ def test_keep_one_keeps_columns_and_first(odd):
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(map(str, groups))
 
 
+def test_rows_made_by_an_explode_are_not_sent_to_every_task(spark):
+    """Spark takes some 70 rows for each fingerprint for one or two, so it must not choose by their size."""
+    pairs = simhash.near_pairs(spark.range(9).withColumnRenamed("id", "fp"))
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in pairs.collect()} == {(a, b) for b in range(9) for a in range(b) if (a ^ b).bit_count() <= 2}
+
+
 def test_empty_table(empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 

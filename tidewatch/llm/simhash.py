@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.components import components
 from tidewatch.llm.flat import slices
-from tidewatch.llm.store import row_hash, written
+from tidewatch.llm.store import row_hash, shuffled, written
 
 BITS = 64
 SEED = 42
@@ -105,7 +105,7 @@ def near_pairs(prints: DataFrame, most_bits: int = 2) -> DataFrame:
             reached |= masks[(i + length - 1) % len(masks)]
             chain &= F.bit_count(differ.bitwiseAND(F.lit(_signed(reached)))) <= length - 1
         within |= (F.col("ring") == i) & chain
-    met = home.join(visit, ["ring", "key"]).where((F.col("a") != F.col("b")) & within & (F.bit_count(differ) <= most_bits))
+    met = home.join(shuffled(visit), ["ring", "key"]).where((F.col("a") != F.col("b")) & within & (F.bit_count(differ) <= most_bits))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
@@ -114,10 +114,10 @@ def _grouped(docs: DataFrame, shingle: int, most_bits: int, id_col: str, text_co
     prints = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     heads = written(prints.groupBy("fp").agg(F.min("doc_id").alias("head")), "heads")
     labels = components(near_pairs(heads.select("fp"), most_bits)).withColumnRenamed("node", "fp")
-    joined = heads.join(labels, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    joined = heads.join(shuffled(labels), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = joined.groupBy("component").agg(F.min("head").alias("component_id"))
     known = joined.select("fp", "component").join(least, "component").select("fp", "component", "component_id")
-    return prints.join(known, "fp")
+    return prints.join(shuffled(known), "fp")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, most_bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
